@@ -113,7 +113,7 @@ def q11_kind_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q12_find_definition(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.find_definition(_symbols(spark, folder), "Entblere").select(
+    return symbols.find_definition(_symbols(spark, folder), "Ac").select(
         "name", "module_path", "file", "line", "kind"
     )
 
@@ -162,7 +162,9 @@ def q15_scoped_references(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q16_unreferenced(spark: SparkSession, folder: str) -> DataFrame:
-    return references.unreferenced(facts.definitions(spark, folder), _references(spark, folder))
+    defined = facts.definitions(spark, folder, least=1)
+    found = references.reference_facts(standins.files(spark, folder), defined, standins.modules(spark, folder))
+    return references.unreferenced(defined, found)
 
 
 def q17_preferred_definition(spark: SparkSession, folder: str) -> DataFrame:

@@ -175,7 +175,7 @@ def _scored_runs(spark: SparkSession, folder: str) -> DataFrame:
     runs = standins.runs(spark, folder)
     layers = {
         "task": F.when(F.pmod("k", F.lit(5)) != 0, F.col("k") / 100),
-        "evidence": F.least(F.col("duration_ms"), F.lit(200.0)) / 200,
+        "evidence": F.try_divide(F.col("duration_ms"), F.col("duration_ms") + 50),
         "trace": F.when(F.col("status") == "completed", 1.0).otherwise(0.0),
     }
     weights = {"task": F.lit(0.5), "evidence": F.lit(0.3), "trace": F.lit(0.2)}

@@ -23,13 +23,16 @@ def first_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def definitions(spark: SparkSession, folder: str) -> DataFrame:
-    """Names found in 2 to 50 documents, defined where they first occur: name, file, line, kind, signature."""
+def definitions(spark: SparkSession, folder: str, least: int = 2) -> DataFrame:
+    """Names found in 2 (or `least`) to 50 documents, defined where they first occur.
+
+    Columns: name, file, line, kind, signature.
+    """
     per_name = (
         first_lines(standins.files(spark, folder))
         .groupBy("name")
         .agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "file", "line")).alias("d"))
-        .filter(F.col("df").between(2, 50))
+        .filter(F.col("df").between(least, 50))
     )
     return per_name.select(
         "name", "d.file", "d.line", standins.kind_of(F.col("name")).alias("kind"),

@@ -11,7 +11,7 @@ from treeline.operators import corpus, retrieval
 from treeline.plans import facts, standins
 from treeline.sources.tables import table
 
-QUERY = "the hentive Ciónllcita mente unger_Reou"
+QUERY = "the hentive Ciónllcita mente unger_Reou Mente"
 
 
 def _words(text):

@@ -13,13 +13,11 @@ from treeline.functions.text import split_lines
 from treeline.session import spread
 from treeline.sources.tables import table
 
-FILE = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-
-
 def files(spark: SparkSession, folder: str) -> DataFrame:
     """documents as files: doc_id, source, lang, file, text."""
     docs = spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "text"))
-    return docs.withColumn("file", FILE)
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.withColumn("file", F.concat_ws("/", "source", "lang", name))
 
 
 def code_files(spark: SparkSession, folder: str) -> DataFrame:
