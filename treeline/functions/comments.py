@@ -17,8 +17,8 @@ from treeline.functions.text import split_lines
 C_COMMENT = r"(?s)//[^\n]*|/\*.*?(?:\*/|\z)"
 HASH_COMMENT = r"#[^\n]*"
 # Blanks that can stand inside one line, and the characters that end it.
-_INLINE = r"[\t \x1f\xa0  -   　]*"
-_STOP = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+_INLINE = r"[\t \x1f\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]*"
+_STOP = r"\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 INCLUDE = rf'#{_INLINE}include{_INLINE}(?:<([^>{_STOP}]+)>|"([^"{_STOP}]+)")'
 _MARK = "\x02"
 _CUT = "\x03"

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 WORD_RUN = r"[A-Za-z0-9_]+"
-CJK_RUN = r"[一-鿿]+"
+CJK_RUN = r"[\u4e00-\u9fff]+"
 
-# A digit run that starts no word is never part of an identifier.
-_LOOSE_DIGITS = r"(?<![A-Za-z0-9_])[0-9]+"
+# A digit run that starts no word is never part of an identifier. The cheap character
+# test stands before the look-behind, so other characters are passed over quickly.
+_LOOSE_DIGITS = r"[0-9](?<![A-Za-z0-9_][0-9])[0-9]*"
 # Pieces of an identifier part: a capitalised or lower-case run, a capital run ending
 # before another capital or at the part's end, or a whole part with neither.
 _PIECE = (
-    r"[A-Z]?[a-z]+"
-    r"|[A-Z]+(?=[A-Z]|(?![A-Za-z0-9]))"
-    r"|(?<![A-Za-z0-9])(?:[A-Z]?[0-9]+)+(?![A-Za-z0-9])"
+    r"[a-z]+"
+    r"|[A-Z](?:[a-z]+|[A-Z]*(?=[A-Z]|(?![A-Za-z0-9])))"
+    r"|(?=[A-Z0-9])(?<![A-Za-z0-9])(?:[A-Z]?[0-9]+)+(?![A-Za-z0-9])"
 )
 _NAME_PIECE = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 
@@ -26,7 +27,7 @@ _NAME_PIECE = r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
 def cjk_bigrams(text: Column) -> Column:
     """Default segmentation of CJK runs: overlapping pairs, short runs whole."""
     pairs = F.transform(
-        F.regexp_extract_all(text, F.lit(f"({CJK_RUN})"), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(0)),
         lambda run: F.when(F.length(run) <= 2, F.array(run)).otherwise(
             F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: run.substr(i, F.lit(2)))
         ),
@@ -37,7 +38,7 @@ def cjk_bigrams(text: Column) -> Column:
 def raw_pieces(text: Column) -> Column:
     """Latin tokens in their original case, in text order, repeats kept."""
     cleaned = F.regexp_replace(text, _LOOSE_DIGITS, " ")
-    return F.regexp_extract_all(cleaned, F.lit(f"({_PIECE})"), F.lit(1))
+    return F.regexp_extract_all(cleaned, F.lit(_PIECE), F.lit(0))
 
 
 def mixed_pieces(text: Column, segment: Callable[[Column], Column] = cjk_bigrams) -> Column:
@@ -55,7 +56,7 @@ def name_tokens(name: Column) -> Column:
     words = F.transform(
         F.filter(F.split(name, r"[_\-./]"), lambda part: part != ""),
         lambda part: F.when(
-            part.rlike("[A-Za-z0-9]"), F.regexp_extract_all(part, F.lit(f"({_NAME_PIECE})"), F.lit(1))
+            part.rlike("[A-Za-z0-9]"), F.regexp_extract_all(part, F.lit(_NAME_PIECE), F.lit(0))
         ).otherwise(F.array(part)),
     )
     return F.coalesce(F.array_join(F.array_distinct(F.transform(F.flatten(words), F.lower)), " "), F.lit(""))
@@ -63,16 +64,16 @@ def name_tokens(name: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Identifier-shaped runs of a text."""
-    return F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(IDENTIFIER), F.lit(0))
 
 
 def word_runs(text: Column) -> Column:
     """Maximal runs of word characters."""
-    return F.regexp_extract_all(text, F.lit(f"({WORD_RUN})"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0))
 
 
 def cjk_fragments(text: Column, least: int = 2) -> Column:
     """CJK runs of at least `least` characters."""
     return F.filter(
-        F.regexp_extract_all(text, F.lit(f"({CJK_RUN})"), F.lit(1)), lambda run: F.length(run) >= least
+        F.regexp_extract_all(text, F.lit(CJK_RUN), F.lit(0)), lambda run: F.length(run) >= least
     )

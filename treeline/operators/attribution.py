@@ -19,16 +19,14 @@ def module_prefixes(cards: DataFrame) -> DataFrame:
 
 
 def attribute_modules(paths: DataFrame, cards: DataFrame, path: str = "file") -> DataFrame:
-    """Distinct paths with their longest module prefix (NULL when there is none).
+    """Each path that lies in a module, with its longest module prefix.
 
     Only paths travel, never texts. A prefix shared by very many paths is spread
     by salting before it meets its module.
     """
-    distinct = paths.select(path).distinct()
-    candidates = distinct.select(path, F.explode(ancestors(F.col(path))).alias("module_path"))
+    candidates = paths.select(path, F.explode(ancestors(F.col(path))).alias("module_path"))
     hits = salted_join(candidates, module_prefixes(cards), "module_path", [path])
-    longest = hits.groupBy(path).agg(F.max_by("module_path", F.length("module_path")).alias("module_path"))
-    return distinct.join(longest, path, "left")
+    return hits.groupBy(path).agg(F.max_by("module_path", F.length("module_path")).alias("module_path"))
 
 
 def with_module(
@@ -39,10 +37,7 @@ def with_module(
     `paths` lists the files the facts came from, so attribution reads path
     columns only and the texts behind the facts are parsed once.
     """
-    owned = attribute_modules(paths, cards, path)
-    if keep_unmatched:
-        return facts.join(owned, path, "left")
-    return facts.join(owned.filter("module_path IS NOT NULL"), path)
+    return facts.join(attribute_modules(paths, cards, path), path, "left" if keep_unmatched else "inner")
 
 
 def outermost(paths: DataFrame, path: str = "path") -> DataFrame:

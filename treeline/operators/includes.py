@@ -31,8 +31,7 @@ def include_facts(files: DataFrame, cards: DataFrame) -> DataFrame:
         )
     )
     facts = (
-        files.filter(F.col("text").contains("include"))
-        .select("file", F.explode(hits).alias("h"))
+        files.select("file", F.explode(hits).alias("h"))
         .select("file", "h.*")
         .withColumn("basename", base_name(F.col("include_target")))
         .filter((F.col("include_target") != "") & (F.col("basename") != ""))

@@ -20,9 +20,13 @@ def valid_tags(records: DataFrame) -> DataFrame:
     )
 
 
-def symbol_facts(definitions: DataFrame, cards: DataFrame) -> DataFrame:
-    """Definitions with their module (NULL when none matches)."""
-    return with_module(definitions, definitions.select("file"), cards).select(
+def symbol_facts(definitions: DataFrame, cards: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """Definitions with their module (NULL when none matches).
+
+    `paths` is a listing of the files; give it where definitions are costly to derive twice.
+    """
+    listing = definitions.select("file") if paths is None else paths
+    return with_module(definitions, listing, cards).select(
         "name", "module_path", "file", "line", "kind", "signature"
     )
 

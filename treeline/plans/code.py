@@ -101,7 +101,9 @@ def q10_top_headers_commented(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _symbols(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.symbol_facts(facts.definitions(spark, folder), standins.modules(spark, folder))
+    return symbols.symbol_facts(
+        facts.definitions(spark, folder), standins.modules(spark, folder), standins.files(spark, folder).select("file")
+    )
 
 
 def q11_symbol_facts(spark: SparkSession, folder: str) -> DataFrame:

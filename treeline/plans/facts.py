@@ -10,15 +10,19 @@ from treeline.functions.tokens import identifiers
 from treeline.plans import standins
 
 
+# Position of a word as one number: document times this, plus the line.
+LINE_SPAN = 1_000_000
+
+
 def first_lines(files: DataFrame) -> DataFrame:
-    """First line of every identifier in every file: name, doc_id, file, line.
+    """First line of every identifier in every file: name, doc_id, line.
 
-    Map-side combining leaves one row per name and file before the shuffle.
+    Map-side combining leaves one row per name and document before the shuffle.
     """
-    lines = files.select("doc_id", "file", F.posexplode(split_lines(F.col("text"))).alias("_i", "_line"))
+    lines = files.select("doc_id", F.posexplode(split_lines(F.col("text"))).alias("_i", "_line"))
     return (
-        lines.select("doc_id", "file", (F.col("_i") + 1).alias("line"), F.explode(identifiers(F.col("_line"))).alias("name"))
-        .groupBy("name", "doc_id", "file")
+        lines.select("doc_id", (F.col("_i") + 1).alias("line"), F.explode(identifiers(F.col("_line"))).alias("name"))
+        .groupBy("name", "doc_id")
         .agg(F.min("line").alias("line"))
     )
 
@@ -26,16 +30,23 @@ def first_lines(files: DataFrame) -> DataFrame:
 def definitions(spark: SparkSession, folder: str, least: int = 2) -> DataFrame:
     """Names found in 2 (or `least`) to 50 documents, defined where they first occur.
 
-    Columns: name, file, line, kind, signature.
+    Columns: name, file, line, kind, signature. Uses that need different columns
+    still share one aggregation, because the validity filter reads all of them.
     """
+    listing = standins.files(spark, folder).select("doc_id", "file")
+    spot = F.col("doc_id") * LINE_SPAN + F.col("line")
     per_name = (
         first_lines(standins.files(spark, folder))
         .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("doc_id", "file", "line")).alias("d"))
-        .filter(F.col("df").between(least, 50))
+        .agg(F.count(F.lit(1)).alias("df"), F.min(spot).alias("spot"))
+        .filter(F.col("df").between(least, 50) & (F.col("spot") > 0))
+        .select(
+            "name", F.floor(F.col("spot") / LINE_SPAN).alias("doc_id"),
+            F.pmod("spot", F.lit(LINE_SPAN)).cast("int").alias("line"),
+        )
     )
-    return per_name.select(
-        "name", "d.file", "d.line", standins.kind_of(F.col("name")).alias("kind"),
+    return per_name.join(listing, "doc_id").select(
+        "name", "file", "line", standins.kind_of(F.col("name")).alias("kind"),
         F.lit(None).cast("string").alias("signature"),
     )
 
@@ -44,7 +55,8 @@ def all_definitions(spark: SparkSession, folder: str) -> DataFrame:
     """Several definitions per name: one in each document that holds it, the kind by document."""
     kinds = F.array(*[F.lit(k) for k in (
         "typedef", "function", "class", "member", "macro", "enum", "struct", "namespace", "prototype", "variable")])
-    return first_lines(standins.files(spark, folder)).select(
+    listing = standins.files(spark, folder).select("doc_id", "file")
+    return first_lines(standins.files(spark, folder)).join(listing, "doc_id").select(
         "name", "file", "line",
         kinds[F.pmod("doc_id", F.lit(10)).cast("int")].alias("kind"),
     )
