@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.functions.paths import ancestors, clean_prefix
-from treeline.operators.distributed import salted_join
 
 
 def module_prefixes(cards: DataFrame) -> DataFrame:
@@ -21,11 +20,12 @@ def module_prefixes(cards: DataFrame) -> DataFrame:
 def attribute_modules(paths: DataFrame, cards: DataFrame, path: str = "file") -> DataFrame:
     """Each path that lies in a module, with its longest module prefix.
 
-    Only paths travel, never texts. A prefix shared by very many paths is spread
-    by salting before it meets its module.
+    Only paths travel, never texts. A prefix shared by very many paths costs no
+    single task: either the modules measure small enough to be broadcast at run
+    time, or the skewed partition is split; what remains per path is a handful of rows.
     """
     candidates = paths.select(path, F.explode(ancestors(F.col(path))).alias("module_path"))
-    hits = salted_join(candidates, module_prefixes(cards), "module_path", [path])
+    hits = candidates.join(module_prefixes(cards), "module_path")
     return hits.groupBy(path).agg(F.max_by("module_path", F.length("module_path")).alias("module_path"))
 
 
@@ -43,11 +43,6 @@ def with_module(
 def outermost(paths: DataFrame, path: str = "path") -> DataFrame:
     """Distinct paths that lie inside no other of the paths."""
     distinct = paths.select(path).distinct()
-    inside = salted_join(
-        distinct.select(path, F.explode(ancestors(F.col(path), include_self=False)).alias("outer_path")),
-        distinct.select(F.col(path).alias("outer_path")),
-        "outer_path",
-        [path],
-        how="left_semi",
-    ).select(path)
+    above = distinct.select(path, F.explode(ancestors(F.col(path), include_self=False)).alias("outer_path"))
+    inside = above.join(distinct.select(F.col(path).alias("outer_path")), "outer_path", "left_semi").select(path)
     return distinct.join(inside.distinct(), path, "left_anti")

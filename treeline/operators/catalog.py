@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from treeline import settings
 from treeline.functions.paths import ancestors, glob_regex, in_skipped_directory, name_regex
 from treeline.functions.text import strip, with_lines
-from treeline.operators.distributed import salted_join
 
 ROOT = "."
 
@@ -75,7 +74,7 @@ def module_files(paths: DataFrame, modules: DataFrame, path: str = "file") -> Da
     below = paths.select(
         path, F.explode(F.concat(F.array(F.lit(ROOT)), ancestors(F.col(path), include_self=False))).alias("module_path")
     )
-    return salted_join(below, modules.select("module_path"), "module_path", [path]).withColumn(
+    return below.join(modules.select("module_path"), "module_path").withColumn(
         "relative",
         F.when(F.col("module_path") == ROOT, F.col(path)).otherwise(
             F.col(path).substr(F.length("module_path") + 2, F.length(path))

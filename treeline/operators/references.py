@@ -12,7 +12,7 @@ from treeline.functions.paths import suffix
 from treeline.functions.text import NEWLINE, split_lines, strip
 from treeline.functions.tokens import word_runs
 from treeline.operators.attribution import with_module
-from treeline.operators.distributed import first_per_key, salted_join, top_ranked
+from treeline.operators.distributed import first_per_key, top_ranked
 
 
 def source_files(definitions: DataFrame) -> DataFrame:
@@ -27,14 +27,15 @@ def _context(line):
 def word_hits(files: DataFrame, names: DataFrame) -> DataFrame:
     """Occurrences of names made of word characters: name, file, line, position in the line.
 
-    Words meet the names in a single shuffle, and a very frequent word is spread
-    over several tasks by file.
+    Words meet the names in a single shuffle. No size is assumed: adaptive execution
+    broadcasts the names only if they measure small, and otherwise splits the
+    partition of a very frequent word over several tasks.
     """
     lines = files.select("file", F.posexplode(split_lines(F.col("text"), NEWLINE)).alias("_i", "_line"))
     words = lines.select(
         "file", (F.col("_i") + 1).alias("line"), F.posexplode(word_runs(F.col("_line"))).alias("position", "name")
     )
-    return salted_join(words, names.select("name").distinct(), "name", ["file"])
+    return words.join(names.select("name").distinct(), "name")
 
 
 def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
@@ -67,7 +68,10 @@ def reference_facts(
 ) -> DataFrame:
     """One row per occurrence outside a definition line: name, module_path, file, line, position."""
     found = word_hits(files, definitions) if hits is None else hits
-    outside = found.join(definitions.select("name", "file", "line"), ["name", "file", "line"], "left_anti")
+    # Written as an outer join: the optimizer would push an anti join below the name
+    # match and shuffle every word of the corpus for it.
+    defined = definitions.select("name", "file", "line", F.lit(True).alias("_defined"))
+    outside = found.join(defined, ["name", "file", "line"], "left").filter("_defined IS NULL")
     return with_module(outside, files.select("file"), cards).select(
         "name", "module_path", "file", "line", "position"
     )

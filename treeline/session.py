@@ -23,6 +23,10 @@ def build_session(app: str = "treeline", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Static estimates miss what an explode multiplies, so only sizes measured
+        # at run time may turn a join into a broadcast join.
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
         # Large column expressions are built call by call; call-site capture would dominate.
