@@ -51,7 +51,19 @@ def default_grading(scenario: Column) -> Column:
 
 
 def with_default_grading(cases: DataFrame) -> DataFrame:
-    return cases.withColumn("grading", F.coalesce("grading", default_grading(F.col("scenario"))))
+    """Cases without grading take their scenario's; given layers default to rules of weight 1."""
+    def completed(layer: str) -> Column:
+        part = F.col(f"grading.{layer}")
+        return F.struct(
+            F.coalesce(part["type"], F.lit("rules")).alias("type"), part["checks"].alias("checks"),
+            part["rubric"].alias("rubric"), F.coalesce(part["weight"], F.lit(1.0)).alias("weight"),
+        ).alias(layer)
+
+    own = F.struct(*[completed(layer) for layer in ("task", "evidence", "trace")])
+    given = F.col("grading.task").isNotNull() | F.col("grading.evidence").isNotNull() | F.col("grading.trace").isNotNull()
+    return cases.withColumn(
+        "grading", F.when(F.coalesce(given, F.lit(False)), own).otherwise(default_grading(F.col("scenario")))
+    )
 
 
 def violations(cases: DataFrame) -> DataFrame:

@@ -126,26 +126,31 @@ def fuse(*rankings: DataFrame) -> DataFrame:
 
 
 def quota_merge(fused: DataFrame, records: DataFrame, top_k: int = settings.DEFAULT_TOP_K) -> DataFrame:
-    """Candidates by quota: side, position, key, score.
+    """Candidates by quota: side, position, key, score, and file and kind of a symbol.
 
-    records: kind, doc_id, module_path, name. Modules count once, with their best document.
+    records: kind, doc_id, module_path, name and, if known, file and symbol_kind.
+    Modules count once, with their best document.
     """
     module_quota = max(1, top_k // 2)
     symbol_quota = max(1, top_k - module_quota)
     named = records.join(F.broadcast(fused), ["kind", "doc_id"])
     score = F.round("rrf", settings.SCORE_DECIMALS)
+    nothing = F.lit(None).cast("string")
+    extra = [(F.col(c) if c in records.columns else nothing).alias(c) for c in ("file", "symbol_kind")]
     best = (
         named.filter((F.col("kind") == "module") & (F.coalesce("module_path", F.lit("")) != ""))
         .groupBy("module_path")
         .agg(F.min(F.struct("rank", "rrf")).alias("b"))
-        .select(F.col("module_path").alias("key"), "b.rank", "b.rrf")
+        .select(F.col("module_path").alias("key"), "b.rank", "b.rrf",
+                nothing.alias("file"), nothing.alias("symbol_kind"))
     )
     modules = top_ranked(best, [F.col("rank").asc()], module_quota, "position")
     symbols = top_ranked(
-        named.filter(F.col("kind") == "symbol").select(F.col("name").alias("key"), "rank", "rrf"),
+        named.filter(F.col("kind") == "symbol").select(F.col("name").alias("key"), "rank", "rrf", *extra),
         [F.col("rank").asc()], symbol_quota, "position",
     )
-    pick = lambda df, side: df.select(F.lit(side).alias("side"), "position", "key", score.alias("score"))
+    pick = lambda df, side: df.select(
+        F.lit(side).alias("side"), "position", "key", score.alias("score"), "file", "symbol_kind")
     return pick(modules, "module").unionByName(pick(symbols, "symbol"))
 
 

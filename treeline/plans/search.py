@@ -95,7 +95,7 @@ def q24_hybrid(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"),
     )
     fused = retrieval.fuse(_bm25(spark, folder), _nearest(spark, folder))
-    return retrieval.quota_merge(fused, records)
+    return retrieval.quota_merge(fused, records).select("side", "position", "key", "score")
 
 
 def q24_hit_counts(spark: SparkSession, folder: str) -> DataFrame:
