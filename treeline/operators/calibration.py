@@ -61,4 +61,4 @@ def judge_score(reply: Column) -> Column:
     outer = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
     body = F.when(fenced != "", fenced).when(outer != "", outer).otherwise(text)
     score = F.get_json_object(body, "$.score").try_cast("double")
-    return F.least(F.lit(5.0), F.greatest(F.lit(0.0), score)) / 5
+    return F.when(score.isNotNull(), F.least(F.lit(5.0), F.greatest(F.lit(0.0), score)) / 5)

@@ -113,42 +113,40 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float]
     accuracy = 10_000
     margin = 4.0 / accuracy
     values = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    names = list(probabilities)
     edges = [
-        edge
+        F.lit(edge)
         for p in probabilities.values()
         for edge in (max(0.0, p - margin), min(1.0, p + margin))
     ]
-    sketch = values.agg(F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), accuracy).alias("edges"))
-    tagged = (
-        values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("edges", sketch.scalar())
-    )
-    low = {n: F.col("edges")[2 * i] for i, n in enumerate(names)}
-    high = {n: F.col("edges")[2 * i + 1] for i, n in enumerate(names)}
-    parts = tagged.agg(
-        F.sum("c").alias("n"),
-        *[F.sum(F.when(F.col("v") < low[n], F.col("c")).otherwise(0)).alias(f"b_{n}") for n in names],
-        *[
-            F.array_sort(
-                F.collect_list(F.when(F.col("v").between(low[n], high[n]), F.struct("v", "c")))
-            ).alias(f"i_{n}")
-            for n in names
-        ],
-    )
-    return parts.select(
-        *[_interpolate(F.col(f"i_{n}"), F.col(f"b_{n}"), F.col("n"), p).alias(n) for n, p in probabilities.items()]
-    )
-
-
-def _interpolate(inside: Column, below: Column, n: Column, p: float) -> Column:
+    sketch = values.agg(F.percentile_approx("v", F.array(*edges), accuracy).alias("edges"))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("edges", sketch.scalar())
+    one = F.struct("v", "c")
+    parts = [F.sum("c").alias("n")]
+    for i, name in enumerate(probabilities):
+        low, high = F.col("edges")[2 * i], F.col("edges")[2 * i + 1]
+        parts += [
+            F.sum(F.when(F.col("v") < low, F.col("c")).otherwise(0)).alias(f"below_{name}"),
+            F.array_sort(F.collect_list(F.when(F.col("v").between(low, high), one))).alias(f"in_{name}"),
+            # The direct neighbours of the bracket, which interpolation may need.
+            F.max(F.when(F.col("v") < low, one)).alias(f"left_{name}"),
+            F.min(F.when(F.col("v") > high, one)).alias(f"right_{name}"),
+        ]
+    row = counted.agg(*parts)
+    return row.select(*[_interpolate(name, p).alias(name) for name, p in probabilities.items()])
+
+
+def _interpolate(name: str, p: float) -> Column:
+    """Percentile from the parts of one bracket."""
+    n, left = F.col("n"), F.col(f"left_{name}")
+    near = F.array_compact(F.concat(F.array(left), F.col(f"in_{name}"), F.array(f"right_{name}")))
+    skipped = F.col(f"below_{name}") - F.coalesce(left["c"], F.lit(0))
     position = (n - 1) * F.lit(p)
     lower = F.floor(position)
 
     def at(rank: Column) -> Column:
         return F.aggregate(
-            inside,
-            F.struct(below.cast("long").alias("seen"), F.lit(None).cast("double").alias("hit")),
+            near,
+            F.struct(skipped.cast("long").alias("seen"), F.lit(None).cast("double").alias("hit")),
             lambda acc, x: F.struct(
                 (acc["seen"] + x["c"]).alias("seen"),
                 F.coalesce(acc["hit"], F.when(acc["seen"] + x["c"] > rank, x["v"])).alias("hit"),

@@ -35,15 +35,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
     """Run traces, one JSON document per file, with the file name; unreadable ones are dropped."""
-    raw = (
-        spark.read.schema(schemas.TRACE + ", _corrupt string")
-        .option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-        .option("recursiveFileLookup", "true")
-        .json(path)
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    parsed = F.from_json("value", schemas.TRACE + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    return (
+        raw.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("run_file"), parsed.alias("r"))
+        .filter("r._corrupt IS NULL")
+        .select("run_file", "r.*")
+        .drop("_corrupt")
     )
-    return raw.withColumn("run_file", F.element_at(F.split(F.input_file_name(), "/"), -1)).filter(
-        "_corrupt IS NULL"
-    ).drop("_corrupt")
 
 
 def usable_answers(traces: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def decoded(content: Column) -> Column:
     """
     utf8 = F.try_validate_utf8(content.cast("string"))
     fallback = F.pandas_udf(_fallback_text, "string")(F.when(utf8.isNull(), content))
-    text = F.regexp_replace(F.coalesce(utf8, fallback), r"\A﻿", "")
+    text = F.regexp_replace(F.coalesce(utf8, fallback), r"\A\ufeff", "")
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
