@@ -22,7 +22,7 @@ def test_lines_follow_splitlines(evaluate):
 
 def test_newline_variant_ignores_other_breaks(evaluate):
     values = ["a\x0cb\nc", "a\r\nb\rc\n", "", "\n"]
-    assert evaluate(values, lambda c: text.split_lines(c, text.NEWLINE)) == [
+    assert evaluate(values, lambda c: text.split_lines(c, text.RETURN_ONLY)) == [
         ["a\x0cb", "c"], ["a", "b", "c"], [], [""]]
 
 

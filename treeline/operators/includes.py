@@ -64,14 +64,3 @@ def header_ranking(facts: DataFrame, n: int = settings.TOP_NAMES) -> DataFrame:
         F.count(F.lit(1)).alias("refs"), F.count_if("commented").alias("commented_refs")
     )
     return top_ranked(counts, [F.col("refs").desc(), F.col("basename").asc()], n)
-
-
-def nested_index(facts: DataFrame) -> DataFrame:
-    """The index keyed by spelling for export: one row per (basename, include_target, module_path).
-
-    The hit list of a row is limited to one module, which keeps rows of a popular
-    header small; the file format nests them on writing.
-    """
-    return facts.groupBy("basename", "include_target", "module_path").agg(
-        F.array_sort(F.collect_list(F.struct("file", "line", "raw", "commented"))).alias("hits")
-    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from treeline import settings
 from treeline.functions.paths import suffix
-from treeline.functions.text import NEWLINE, split_lines, strip
+from treeline.functions.text import RETURN_ONLY, split_lines, strip
 from treeline.functions.tokens import word_runs
 from treeline.operators.attribution import with_module
 from treeline.operators.distributed import first_per_key, top_ranked
@@ -31,7 +31,7 @@ def word_hits(files: DataFrame, names: DataFrame) -> DataFrame:
     broadcasts the names only if they measure small, and otherwise splits the
     partition of a very frequent word over several tasks.
     """
-    lines = files.select("file", F.posexplode(split_lines(F.col("text"), NEWLINE)).alias("_i", "_line"))
+    lines = files.select("file", F.posexplode(split_lines(F.col("text"), RETURN_ONLY)).alias("_i", "_line"))
     words = lines.select(
         "file", (F.col("_i") + 1).alias("line"), F.posexplode(word_runs(F.col("_line"))).alias("position", "name")
     )
@@ -43,7 +43,7 @@ def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
 
     The list is the caller's: each name becomes one bounded pattern of the scan.
     """
-    lines = files.select("file", F.posexplode(split_lines(F.col("text"), NEWLINE)).alias("_i", "_line"))
+    lines = files.select("file", F.posexplode(split_lines(F.col("text"), RETURN_ONLY)).alias("_i", "_line"))
     counts = [
         F.struct(
             F.lit(name).alias("name"),
@@ -79,7 +79,7 @@ def reference_facts(
 
 def with_context(facts: DataFrame, files: DataFrame) -> DataFrame:
     """Add the trimmed source line to facts (a few samples, or all of them)."""
-    lines = files.select("file", split_lines(F.col("text"), NEWLINE).alias("_lines"))
+    lines = files.select("file", split_lines(F.col("text"), RETURN_ONLY).alias("_lines"))
     return facts.join(lines, "file").withColumn("context", _context(F.get("_lines", F.col("line") - 1))).drop("_lines")
 
 

@@ -38,14 +38,17 @@ def build_session(app: str = "treeline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+FEW_FILES = 4
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of a few unsplittable files over the executors.
+    """Spread an input of very few files, which one task each may have to read, over the executors.
 
-    A corpus of thousands of files already has enough input partitions and is
-    returned untouched, so this never shuffles a large text table.
+    A corpus of more files already has its input partitions and is returned
+    untouched, so this never shuffles a large text table.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) * 2 < wanted else df
+    return df.repartition(wanted) if len(df.inputFiles()) <= min(FEW_FILES, wanted // 2) else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

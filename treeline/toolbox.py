@@ -18,7 +18,9 @@ from treeline.functions.paths import is_safe
 from treeline.operators import editing, includes, references, retrieval, symbols, textsearch
 from treeline.operators.compaction import CUT_MARKER, LEAST_CONTENT
 from treeline.operators.registry import Registry
+from treeline.session import ensure_checkpoint_dir
 
+EDITS_PER_CHECKPOINT = 20
 MISSING = {"ok": False, "error": "index not available"}
 
 
@@ -75,6 +77,7 @@ class Toolbox:
 
     def __init__(self, spark: SparkSession, tables: Tables, embed=None) -> None:
         self.spark, self.tables, self.embed = spark, tables, embed
+        self._edits = 0
         self.registry = Registry()
         self.registry.register(
             self.list_files, self.read_text_file, self.search_text, self.search_files_by_name,
@@ -198,7 +201,12 @@ class Toolbox:
     def _store(self, path: str, text: str) -> None:
         """Put one file in place of its former version."""
         new = self.spark.createDataFrame([(path, text)], "file string, text string")
-        self.tables.files = self.tables.files.select("file", "text").filter(F.col("file") != path).unionByName(new)
+        files = self.tables.files.select("file", "text").filter(F.col("file") != path).unionByName(new)
+        self._edits += 1
+        if self._edits % EDITS_PER_CHECKPOINT == 0:
+            ensure_checkpoint_dir(self.spark)
+            files = files.checkpoint()
+        self.tables.files = files
 
     def replace_text_in_file(self, relative_path: str, old_text: str, new_text: str, expected_occurrences: int) -> dict:
         """Replace an exact text when it occurs exactly as often as expected."""
