@@ -12,26 +12,10 @@ from treeline.operators import (
     attribution, calibration, checks, compaction, corpus, datasets, editing, grading, history, includes,
     metrics, references, report, retrieval, searchindex, snapshot, symbols, textsearch,
 )
-from treeline.operators.distributed import exact_percentiles, prefix_scan, salted_join
+from treeline.operators.distributed import exact_percentiles, salted_join
 from treeline.toolbox import compact
 
 
-def test_prefix_scan_over_many_chunks(spark):
-    rng = random.Random(3)
-    rows = [(k, p, rng.randint(0, 9)) for k in ("hot", "cold") for p in range(300 if k == "hot" else 5)]
-    df = spark.createDataFrame(rows, "k string, p long, v int")
-    scans = {"s": ("sum", F.col("v")), "m": ("max", F.when(F.col("v") > 4, F.col("p")))}
-    got = {(r.k, r.p): r for r in prefix_scan(df, ["k"], "p", scans, chunk=4).collect()}
-    for key in ("hot", "cold"):
-        mine = [r for r in rows if r[0] == key]
-        for _, p, v in mine:
-            before = [r for r in mine if r[1] < p]
-            row = got[key, p]
-            assert row.s == sum(r[2] for r in before)
-            assert row.m == max((r[1] for r in before if r[2] > 4), default=None)
-            assert row.s_all == sum(r[2] for r in mine)
-
-
 def trim_spec(rows, budget):
     """rows: (role, calls, tokens) in order; returns the kept flags."""
     blocks = []
@@ -62,8 +46,9 @@ def test_trim_equals_block_walk(spark):
         expected[conv] = trim_spec(rows, 60)
     df = spark.createDataFrame(
         data, "conv_id long, turn long, role string, content string, tool_calls string, tool_call_id string, name string")
-    for r in history.trim_history(df, 60).collect():
-        assert r.kept == expected[r.conv_id][r.turn], (r.conv_id, r.turn)
+    for chunk in (1, 3, 1000):
+        for r in history.trim_history(df, 60, chunk).collect():
+            assert r.kept == expected[r.conv_id][r.turn], (chunk, r.conv_id, r.turn)
 
 
 def test_compaction_agrees_with_real_json(spark):

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
-CHUNK = 4096
 
 
 def salted_join(
@@ -23,74 +22,6 @@ def salted_join(
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
-def prefix_scan(
-    df: DataFrame,
-    keys: list[str],
-    position: str,
-    scans: dict[str, tuple[str, Column]],
-    inclusive: bool = False,
-    chunk: int = CHUNK,
-) -> DataFrame:
-    """Running sums/maxima per key in position order, whatever the size of a key.
-
-    Positions are cut into chunks and the chunks into super-chunks; a task only
-    ever sorts one chunk. `scans` maps a name to ("sum" | "max", column); each
-    adds `<name>` (value over the rows before, or up to, this one) and
-    `<name>_all` (value over the whole key).
-    """
-    fold = {"sum": F.sum, "max": F.max}
-
-    def merged(name: str, *parts: Column) -> Column:
-        if scans[name][0] == "sum":
-            total = F.lit(0)
-            for part in parts:
-                total = total + F.coalesce(part, F.lit(0))
-            return total
-        return F.greatest(*parts)
-
-    columns = df.columns
-    rows = df.select(
-        "*",
-        F.floor(F.col(position) / chunk).cast("long").alias("_chunk"),
-        *[value.alias(f"_v_{name}") for name, (_, value) in scans.items()],
-    )
-    names = list(scans)
-    chunks = rows.groupBy(*keys, "_chunk").agg(
-        *[fold[scans[n][0]](f"_v_{n}").alias(f"_v_{n}") for n in names]
-    ).withColumn("_super", F.floor(F.col("_chunk") / chunk).cast("long"))
-    supers = chunks.groupBy(*keys, "_super").agg(
-        *[fold[scans[n][0]](f"_v_{n}").alias(f"_v_{n}") for n in names]
-    )
-    before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    supers = supers.select(
-        *keys,
-        "_super",
-        *[fold[scans[n][0]](f"_v_{n}").over(before(whole.orderBy("_super"))).alias(f"_s_{n}") for n in names],
-        *[fold[scans[n][0]](f"_v_{n}").over(whole).alias(f"_a_{n}") for n in names],
-    )
-    inner = before(W.partitionBy(*keys, "_super").orderBy("_chunk"))
-    offsets = (
-        chunks.select(
-            *keys, "_chunk", "_super",
-            *[fold[scans[n][0]](f"_v_{n}").over(inner).alias(f"_c_{n}") for n in names],
-        )
-        .join(supers, [*keys, "_super"])
-        .drop("_super")
-    )
-    local = W.partitionBy(*keys, "_chunk").orderBy(position)
-    frame = local.rowsBetween(W.unboundedPreceding, 0) if inclusive else before(local)
-    scanned = rows.select(
-        *columns, "_chunk",
-        *[fold[scans[n][0]](f"_v_{n}").over(frame).alias(f"_r_{n}") for n in names],
-    )
-    return scanned.join(offsets, [*keys, "_chunk"]).select(
-        *columns,
-        *[merged(n, F.col(f"_s_{n}"), F.col(f"_c_{n}"), F.col(f"_r_{n}")).alias(n) for n in names],
-        *[F.col(f"_a_{n}").alias(f"{n}_all") for n in names],
-    )
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first `n` rows of each key; ranks past `n` are dropped before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)
