@@ -133,3 +133,32 @@ def test_layer_score_counts_unknown_checks_as_passed(spark):
         grading.layer_score(F.lit(None).cast("array<string>"), F.create_map(F.lit("a"), F.lit(0.0))).alias("none"))
     row = df.head()
     assert (row.two, row.none) == (0.5, 1.0)
+
+
+def test_build_and_lookups(spark, repo, tmp_path, capsys):
+    from treeline import __main__ as cli
+    from treeline import build
+    from treeline.toolbox import Toolbox
+
+    tags = tmp_path / "tags.json"
+    tags.write_text("\n".join(json.dumps({"_type": "tag", "name": n, "path": p, "line": i, "kind": k}) for n, p, i, k in [
+        ("main", "plt/rank_serv/src/main.cpp", 2, "function"), ("rank_node", "plt/kvk_event_serv/src/rank_node.h", 1, "class"),
+        ("helper", "plt/rank_serv/src/core/utils/a_conf.h", 1, "member")]))
+    out = str(tmp_path / "tables")
+    build.build_tables(spark, repo, str(tags), out)
+    tables = build.load_tables(spark, out)
+    docs = {(r.doc_id, r.part): r.text for r in tables.corpus.collect()}
+    assert ("module:plt/rank_serv#comments", "") in docs and docs[("module:plt/rank_serv#comments", "")].endswith("排行榜")
+    assert docs[("module:plt/rank_serv#docs", "0/README.md")] == "标题\n"
+    assert "related_chinese:\n排行榜" in docs[("symbol:helper", "")]
+    assert [(r.name, r.file, r.line) for r in tables.references.collect()] == [("rank_node", "plt/rank_serv/src/main.cpp", 1)]
+    vectors = build.embed_corpus(tables.corpus, lambda texts: [[len(t), 1.0] for t in texts])
+    assert vectors.count() == tables.records.count()
+    box = Toolbox(spark, tables, embed=lambda q: [0.0, 1.0])
+    box.tables.vectors = vectors
+    answer = box.call("resolve_term", '{"query": "rank"}')
+    assert {m["module_path"] for m in answer["candidates"]["modules"]} == {"plt/rank_serv", "plt/kvk_event_serv"}
+    assert cli.COMMANDS["header"](tables, "rank_node.h") == 0
+    assert cli.COMMANDS["references"](tables, "nothing") == 1
+    assert cli.COMMANDS["stats"](tables, None) == 0
+    assert '"basename": "rank_node.h"' in capsys.readouterr().out
