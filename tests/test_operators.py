@@ -12,7 +12,7 @@ from treeline.operators import (
     attribution, calibration, checks, compaction, corpus, datasets, editing, grading, history, includes,
     metrics, references, report, retrieval, searchindex, snapshot, symbols, textsearch,
 )
-from treeline.operators.distributed import exact_percentiles, salted_join
+from treeline.operators.distributed import exact_percentiles, lookup_join, salted_join
 from treeline.toolbox import compact
 
 
@@ -106,6 +106,9 @@ def test_salted_join_keeps_every_pair(spark):
     keyed = spark.createDataFrame([("hot", 1), ("hot", 2), ("none", 3)], "k string, v int")
     got = salted_join(facts, keyed, "k", ["i"]).select("i", "k", "v").collect()
     assert sorted(got) == sorted(facts.join(keyed, "k").select("i", "k", "v").collect())
+    for bound in (1, 100):
+        same = lookup_join(facts, keyed, "k", ["i"], bound).select("i", "k", "v")
+        assert sorted(same.collect()) == sorted(got)
 
 
 def test_longest_prefix_and_outermost(spark):

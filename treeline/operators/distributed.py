@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
+BROADCAST_ROWS = 20_000
 
 
 def salted_join(
@@ -22,6 +23,19 @@ def salted_join(
     return left.join(right, [on, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    facts: DataFrame, keyed: DataFrame, on: str, spread_by: list[str], bound: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join wide fact rows with a table that is expected, but not known, to be small.
+
+    Its rows are counted first, up to the bound: within it the table is broadcast
+    and the facts stay where they are; beyond it the join is salted.
+    """
+    if keyed.limit(bound + 1).count() <= bound:
+        return facts.join(F.broadcast(keyed), on)
+    return salted_join(facts, keyed, on, spread_by)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first `n` rows of each key; ranks past `n` are dropped before the shuffle."""
     window = W.partitionBy(*keys).orderBy(*order)

@@ -40,11 +40,12 @@ def engineering(
         runs.select(F.coalesce("llm_latency_ms", F.lit(0.0)).alias("llm_latency_ms")),
         "llm_latency_ms", {"llm_latency_p50_ms": 0.50, "llm_latency_p95_ms": 0.95},
     )
-    return main.select(
-        "*",
-        *[duration.select(c).scalar().alias(c) for c in duration.columns],
-        *[latency.select(c).scalar().alias(c) for c in latency.columns],
-    )
+    # Both percentiles of a column come out of one subquery.
+    columns = []
+    for part in (duration, latency):
+        both = part.select(F.struct("*")).scalar()
+        columns += [both[c].alias(c) for c in part.columns]
+    return main.select("*", *columns)
 
 
 def failures(runs: DataFrame) -> DataFrame:

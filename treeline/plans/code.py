@@ -53,6 +53,12 @@ def q06_read_window(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def q06_read_preview(spark: SparkSession, folder: str) -> DataFrame:
+    return textsearch.read_preview(standins.files(spark, folder)).select(
+        "file", "total_lines", "start_line", "end_line", "content", "characters_read"
+    )
+
+
 def _page_modules(spark: SparkSession, folder: str) -> DataFrame:
     """Every host that has a subdomain is a module, and so is every host/lang."""
     parts = F.split("path", "/")
@@ -115,7 +121,7 @@ def q11_kind_distribution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q12_find_definition(spark: SparkSession, folder: str) -> DataFrame:
-    return symbols.find_definition(_symbols(spark, folder), "Ac").select(
+    return symbols.find_definition(_symbols(spark, folder), "Anhaha").select(
         "name", "module_path", "file", "line", "kind"
     )
 
@@ -134,6 +140,16 @@ def q14_reference_facts(spark: SparkSession, folder: str) -> DataFrame:
     return _references(spark, folder)
 
 
+def q14_source_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Linked files as definitions: which of them a scan would read."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+    ends = F.array(*[F.lit(e) for e in (".h", ".CPP", ".py", "", ".hxx", ".md")])
+    named = table(spark, folder, "pages").select("page_id", F.explode(links).alias("target")).select(
+        F.concat(F.ltrim(F.regexp_replace("target", "[?#].*$", ""), F.lit("/")), ends[F.pmod("page_id", F.lit(6)).cast("int")]).alias("file")
+    )
+    return references.source_files(named)
+
+
 def q14_literal_references(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "part").select(
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("file"),

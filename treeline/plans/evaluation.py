@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from treeline import settings
 from treeline.functions.jsonsize import list_size, number_size, object_size, string_size
 from treeline.operators import (
-    calibration, catalog, checks, compaction, datasets, editing, grading, history, metrics, snapshot, textsearch,
+    calibration, catalog, checks, compaction, datasets, editing, grading, history, metrics, report, snapshot, textsearch,
 )
-from treeline.operators.distributed import first_per_key, salted_join
+from treeline.operators.distributed import first_per_key, lookup_join
 from treeline.plans import standins
 from treeline.session import spread
 from treeline.sources.tables import table
@@ -135,8 +135,7 @@ def _traces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
-    runs = salted_join(_traces(spark, folder), _cases(spark, folder), "case_id", ["run_id"])
-    return checks.run_checks(runs)
+    return checks.run_checks(lookup_join(_traces(spark, folder), _cases(spark, folder), "case_id", ["run_id"]))
 
 
 def q28_rule_checks(spark: SparkSession, folder: str) -> DataFrame:
@@ -251,6 +250,48 @@ def q33_disagreements(spark: SparkSession, folder: str) -> DataFrame:
     return calibration.disagreements(_labels(spark, folder))
 
 
+def q33_normal_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """labels written in varying spellings, brought to the three canonical ones."""
+    words = F.array(*[F.lit(w) for w in ("正确", " 对", "部分", "部分正确\t", "错误 ", "错", "None", "")])
+    spelled = table(spark, folder, "labels").select(
+        "doc_id", words[F.pmod(F.col("doc_id") + F.col("quality") * 3, F.lit(8)).cast("int")].alias("label")
+    )
+    return spelled.select(calibration.normal_label(F.col("label")).alias("label")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def q33_judge_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores out of judge replies wrapped in fences, in prose or not usable at all."""
+    k = F.get_json_object("props", "$.k")
+    form = F.pmod("event_id", F.lit(4))
+    reply = (
+        F.when(form == 0, F.concat(F.lit('```json\n{"score": '), k, F.lit("}\n```")))
+        .when(form == 1, F.concat(F.lit('I think {"score": '), F.col("value").cast("string"), F.lit(', "why": "x"} fits')))
+        .when(form == 2, F.concat(F.lit('{"score": "'), F.col("event_type"), F.lit('"}')))
+        .otherwise(F.col("event_type"))
+    )
+    events = table(spark, folder, "events")
+    return events.select("event_id", F.round(calibration.judge_score(reply), 6).alias("score"))
+
+
+def q30_planned_runs(spark: SparkSession, folder: str) -> DataFrame:
+    cases = table(spark, folder, "benchmark").select(
+        "item_id",
+        F.array(*[F.lit(s) for s in settings.SCENARIOS])[F.pmod("item_id", F.lit(4)).cast("int")].alias("scenario"),
+        F.when(F.pmod("item_id", F.lit(3)) == 0, F.lit(5)).alias("n_runs"),
+    )
+    return datasets.planned_runs(cases, 3)
+
+
+def q31_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """The per-case part of a report as table lines."""
+    cases = grading.grade_cases(_scored_runs(spark, folder), ("case_id",)).select(
+        "case_id", "n_runs", F.round("case_score_mean", 2).alias("mean"), F.round("task_mean", 2).alias("task")
+    )
+    return report.markdown_rows(cases)
+
+
 def q34_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     then = standins.files(spark, folder).select("file", "text", "doc_id")
     now = then.filter(F.pmod("doc_id", F.lit(17)) != 0).withColumn(

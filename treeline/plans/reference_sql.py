@@ -172,7 +172,7 @@ FROM (SELECT unnest(['class', 'function', 'member', 'macro', 'enum', 'namespace'
 UNION ALL SELECT 'no_module', count(*) FROM defs WHERE module_path IS NULL"""
 
 SQL["q12_find_definition"] = "WITH " + symbols(LINES) + """
-SELECT name, module_path, file, line, kind FROM defs WHERE name = 'Ac'"""
+SELECT name, module_path, file, line, kind FROM defs WHERE name = 'Anhaha'"""
 
 SQL["q13_symbols_in_module"] = "WITH " + symbols(LINES) + """
 SELECT name, kind, string_split(file, '/')[-1] AS file, line FROM defs WHERE module_path = 'src3' AND kind = 'class'"""
@@ -509,3 +509,31 @@ SQL["q42_glob_match"] = "WITH " + PATHS + """
 SELECT page_id, regexp_matches(path, '^(.*/)?en/[^/]*$') AS g0, regexp_matches(path, '^[^/]*[.]example[.]net/.*$') AS g1,
     regexp_matches(path, '^(.*/)?5[^/][^/]$') AS g2, regexp_matches(path, '^blog[.][^/]*/[^/]*/[^/]*[.]html$') AS g3,
     regexp_matches(path, '^(.*/)?[^/]*[.]html$') AS g4 FROM paths"""
+
+SQL["q06_read_preview"] = "WITH " + LINES + """
+SELECT file, CAST(len(ls) AS INTEGER) AS total_lines, CASE WHEN len(ls) > 0 THEN 1 ELSE 0 END AS start_line,
+    CAST(least(len(ls), 40) AS INTEGER) AS end_line, coalesce(array_to_string(ls[1:40], chr(10)), '') AS content,
+    CAST(length(coalesce(array_to_string(ls[1:40], chr(10)), '')) AS INTEGER) AS characters_read FROM split"""
+
+SQL["q14_source_files"] = r"""
+WITH links AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages),
+named AS (SELECT DISTINCT ltrim(regexp_replace(target, '[?#].*$', ''), '/')
+    || ['.h', '.CPP', '.py', '', '.hxx', '.md'][page_id % 6 + 1] AS file FROM links)
+SELECT file FROM named WHERE regexp_matches(lower(file), '[^/.][^/]*[.](h|hpp|hh|hxx|c|cc|cpp|cxx)$')"""
+
+SQL["q33_normal_labels"] = """
+WITH w AS (SELECT trim(['正确', ' 对', '部分', '部分正确' || chr(9), '错误 ', '错', 'None', ''][(doc_id + quality * 3) % 8 + 1], ' ' || chr(9)) AS l FROM labels)
+SELECT CASE l WHEN '正确' THEN '对' WHEN '部分' THEN '部分对' WHEN '部分正确' THEN '部分对' WHEN '错误' THEN '错' ELSE l END AS label, count(*) AS n
+FROM w GROUP BY 1"""
+
+SQL["q33_judge_scores"] = """
+SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN least(5, CAST(json_extract(props, '$.k') AS DOUBLE)) / 5
+    WHEN 1 THEN least(5, greatest(0, value)) / 5 END, 6) AS score FROM events"""
+
+SQL["q30_planned_runs"] = """
+SELECT item_id, ['consult', 'retrieval', 'bug', 'modify'][item_id % 4 + 1] AS scenario,
+    CASE WHEN item_id % 4 = 3 THEN 1 WHEN item_id % 3 = 0 THEN 5 ELSE 3 END AS n_runs FROM benchmark"""
+
+SQL["q31_markdown"] = "WITH " + RUNS + """,
+c AS (SELECT case_id, count(*) AS n, round(avg(score), 2) AS m, round(avg(task), 2) AS t FROM s GROUP BY case_id)
+SELECT '| ' || case_id || ' | ' || n || ' | ' || coalesce(printf('%.3f', m), '-') || ' | ' || coalesce(printf('%.3f', t), '-') || ' |' AS line FROM c"""

@@ -38,17 +38,17 @@ def build_session(app: str = "treeline", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-FEW_FILES = 4
+FEW_PARTITIONS = 64
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input of very few files, which one task each may have to read, over the executors.
+    """Spread an input of few partitions (a small, unsplittable file) over the executors.
 
-    A corpus of more files already has its input partitions and is returned
-    untouched, so this never shuffles a large text table.
+    At most 64 input partitions are ever reshuffled, so a large text table is
+    always read as it lies.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if len(df.inputFiles()) <= min(FEW_FILES, wanted // 2) else df
+    return df.repartition(wanted) if df.rdd.getNumPartitions() <= min(FEW_PARTITIONS, wanted // 2) else df
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
