@@ -374,3 +374,25 @@ def test_markdown_and_violations(spark):
         "*", F.from_json(F.lit("{}"), "gold_list array<string>, root_cause_file string, root_cause_symbol string, "
                          "target_file string, key_change_fields array<string>, any_filename boolean").alias("expected"))
     assert sorted(r.rule for r in datasets.violations(cases).collect()) == ["bug needs a root cause", "duplicate id"]
+
+
+def test_snapshot_of_named_values(spark, tmp_path):
+    git = tmp_path / ".git" / "refs"
+    git.mkdir(parents=True)
+    (tmp_path / ".git" / "HEAD").write_text("ref: refs/main\n")
+    (git / "main").write_text("abc123\n")
+    assert snapshot.head_commit(spark, str(tmp_path)) == "abc123"
+    assert snapshot.head_commit(spark, str(tmp_path / "none")) is None
+    take = lambda commit: snapshot.capture({
+        "git": snapshot.named_values(spark, {"commit": commit}), "tools": snapshot.named_values(spark, {"schema": [{"a": 1}]})})
+    assert snapshot.verify(take("abc"), take("abc")).count() == 0
+    assert [r.path for r in snapshot.verify(take("abc"), take("abd")).collect()] == ["git/commit"]
+
+
+def test_label_sheet(spark):
+    cases = spark.createDataFrame([("1", "bug", "q1", 0), ("2", "bug", "q2", 1), ("3", "bug", "q3", 2), ("4", "consult", "q4", 3)],
+                                  "id string, scenario string, question string, ord long").withColumn(
+        "expected", F.struct(F.lit("r").alias("rubric")))
+    answers = spark.createDataFrame([("1", "a1"), ("2", ""), ("3", "a3"), ("4", "a4")], "case_id string, answer string")
+    rows = datasets.label_sheet(cases, answers, 2).collect()
+    assert sorted((r.case_id, r.answer, r.rubric) for r in rows) == [("1", "a1", "r"), ("4", "a4", "r")]

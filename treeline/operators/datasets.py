@@ -98,3 +98,16 @@ def planned_runs(cases: DataFrame, default_runs: int) -> DataFrame:
     return cases.withColumn(
         "n_runs", F.when(F.col("scenario") == "modify", 1).otherwise(F.coalesce("n_runs", F.lit(default_runs)))
     )
+
+
+def label_sheet(cases: DataFrame, answers: DataFrame, per_group: int) -> DataFrame:
+    """Rows for human labelling: the first cases of every scenario that have a usable answer.
+
+    answers: case_id, answer. Cases without an answer are left out, not replaced.
+    """
+    chosen = head_sample(cases, per_group)
+    usable = answers.filter(F.coalesce("answer", F.lit("")) != "")
+    return chosen.join(usable, chosen["id"] == usable["case_id"]).select(
+        "case_id", "scenario", "question", "answer", F.col("expected.rubric").alias("rubric"),
+        F.lit(None).cast("string").alias("human"), F.lit(None).cast("string").alias("judge"),
+    )

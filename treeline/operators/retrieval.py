@@ -27,7 +27,7 @@ def term_table(docs: DataFrame, terms: list[str]) -> DataFrame:
     pieces = docs.select("kind", "doc_id", mixed_pieces(F.col("text")).alias("_pieces"))
     hits = pieces.select(
         "kind", "doc_id", F.size("_pieces").alias("dl"),
-        F.filter(F.transform("_pieces", F.lower), lambda t: t.isin(*terms)).alias("_hits"),
+        F.transform(F.filter("_pieces", lambda t: F.lower(t).isin(*terms)), F.lower).alias("_hits"),
     )
     counts = [F.sum(_occurrences(F.col("_hits"), word)).alias(f"tf{i}") for i, word in enumerate(terms)]
     return hits.groupBy("kind", "doc_id").agg(F.sum("dl").alias("dl"), *counts)

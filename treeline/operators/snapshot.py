@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,6 +15,36 @@ def hash_tree(files: DataFrame, path: str = "file", content: str = "text") -> Da
     ).select(F.col(path).alias("path"), F.sha2(F.col(content), 256).alias("sha256"))
 
 
+def named_values(spark: SparkSession, values: dict[str, object]) -> DataFrame:
+    """Snapshot entries of single values: commit, prompt, tool schema, dependency versions."""
+    rows = [(name, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for name, v in values.items()]
+    return spark.createDataFrame(rows, "path string, value string").select(
+        "path", F.sha2("value", 256).alias("sha256")
+    )
+
+
+def head_commit(spark: SparkSession, root: str) -> str | None:
+    """Commit a repository folder stands on, from its HEAD file; None when there is none."""
+    def first_line(path: str) -> str | None:
+        row = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string")).head()
+        return row[0].strip() if row else None
+
+    try:
+        head = first_line(f"{root}/.git/HEAD")
+        return first_line(f"{root}/.git/{head[5:]}") if head and head.startswith("ref: ") else head
+    except Exception:  # noqa: BLE001 - any unreadable repository simply has no commit
+        return None
+
+
+def capture(parts: dict[str, DataFrame]) -> DataFrame:
+    """One snapshot out of named hash tables; entry paths are prefixed with the part's name."""
+    out = None
+    for name, part in parts.items():
+        rows = part.select(F.concat(F.lit(f"{name}/"), "path").alias("path"), "sha256")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def verify(snapshot: DataFrame, current: DataFrame) -> DataFrame:
     """Entries of a snapshot that are missing or differ now; new files are not reported."""
     now = current.select("path", F.col("sha256").alias("current"))
