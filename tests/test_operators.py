@@ -150,6 +150,10 @@ def test_references_exclude_definitions_and_count_repeats(spark):
     literal = references.literal_hits(files, ["~Foo", "operator ="])
     assert sorted((r.name, r.file, r.line, r.position) for r in literal.collect()) == [
         ("operator =", "m/b.h", 1, 0), ("~Foo", "m/b.h", 1, 0)]
+    names = spark.createDataFrame([("~Foo",), ("operator =",), ("Foo",), ("a\\\\E.b",)], "name string")
+    both = references.symbol_hits(files, names)
+    assert sorted((r.name, r.line) for r in both.filter("file = 'm/b.h'").collect()) == [
+        ("Foo", 1), ("Foo", 1), ("operator =", 1), ("~Foo", 1)]
     summary = references.reference_summary(facts).head()
     assert (summary.ref_count, summary.module_count) == (5, 1)
     first = references.with_context(references.sample_references(facts, 1), files).head()

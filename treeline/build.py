@@ -41,7 +41,7 @@ def build_tables(spark: SparkSession, root: str, tags: str, out: str) -> None:
     store("includes", includes.include_facts(sources, cards))
     defined = store("symbols", symbols.symbol_facts(jsonlines.read_tags(spark, tags), cards, files.select("file")))
     scanned = sources.join(references.source_files(defined), "file", "left_semi")
-    found = references.reference_facts(scanned, defined, cards)
+    found = references.reference_facts(scanned, defined, cards, references.symbol_hits(scanned, defined))
     store("references", references.with_context(found, scanned))
 
     owned = catalog.module_files(files.select("file"), cards.select("module_path"))

@@ -63,6 +63,42 @@ def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def special_hits(files: DataFrame, names: DataFrame) -> DataFrame:
+    """Occurrences of any number of names that hold other characters: name, file, line, position.
+
+    Every run of word characters inside such a name is a whole word of a line the
+    name occurs on. So the longest run finds the candidate lines by an equi-join, and
+    only those are searched for the full name. (A name without any word character
+    is not found here; symbols always have one.)
+    """
+    runs = F.transform(word_runs(F.col("name")), lambda r: F.struct(F.length(r).alias("n"), r.alias("anchor")))
+    anchored = (
+        names.select("name").distinct().filter(F.size(word_runs(F.col("name"))) > 0)
+        .select("name", F.array_max(runs)["anchor"].alias("anchor"))
+    )
+    lines = files.select("file", F.posexplode(split_lines(F.col("text"), RETURN_ONLY)).alias("_i", "_line"))
+    words = lines.select("file", "_i", F.explode(F.array_distinct(word_runs(F.col("_line")))).alias("anchor"))
+    candidates = words.join(anchored, "anchor").select("file", "_i", "name")
+    texts = files.select("file", split_lines(F.col("text"), RETURN_ONLY).alias("_lines"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
+    times = F.regexp_count(F.get("_lines", F.col("_i")), pattern)
+    return (
+        candidates.join(texts, "file")
+        .select("name", "file", (F.col("_i") + 1).alias("line"), times.alias("_times"))
+        .filter("_times > 0")
+        .select("name", "file", "line", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("position"))
+    )
+
+
+def symbol_hits(files: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Occurrences of all defined names, plain words and others."""
+    plain = F.col("name").rlike("^[A-Za-z0-9_]+$")
+    return word_hits(files, definitions.filter(plain)).select("name", "file", "line", "position").unionByName(
+        special_hits(files, definitions.filter(~plain))
+    )
+
+
 def reference_facts(
     files: DataFrame, definitions: DataFrame, cards: DataFrame, hits: DataFrame | None = None
 ) -> DataFrame:

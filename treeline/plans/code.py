@@ -159,6 +159,20 @@ def q14_literal_references(spark: SparkSession, folder: str) -> DataFrame:
     return references.literal_hits(lines, names)
 
 
+def q14_special_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Names with other characters, taken from the parts, found in the lines of the parts."""
+    part = table(spark, folder, "part")
+    first = F.substring_index("p_name", " ", 1)
+    names = part.select(
+        F.explode(F.array(F.col("p_brand"), F.concat(F.lit("~"), first), F.concat(F.col("p_type"), F.lit(" Brand#1")))).alias("name")
+    )
+    lines = part.select(
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("file"),
+        F.concat_ws(" ", "p_brand", F.concat(F.lit("~"), "p_name"), "p_type", "p_brand", "p_type").alias("text"),
+    )
+    return references.special_hits(lines, names)
+
+
 def q15_reference_summary(spark: SparkSession, folder: str) -> DataFrame:
     return references.reference_summary(_references(spark, folder))
 

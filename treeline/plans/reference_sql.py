@@ -537,3 +537,12 @@ SELECT item_id, ['consult', 'retrieval', 'bug', 'modify'][item_id % 4 + 1] AS sc
 SQL["q31_markdown"] = "WITH " + RUNS + """,
 c AS (SELECT case_id, count(*) AS n, round(avg(score), 2) AS m, round(avg(task), 2) AS t FROM s GROUP BY case_id)
 SELECT '| ' || case_id || ' | ' || n || ' | ' || coalesce(printf('%.3f', m), '-') || ' | ' || coalesce(printf('%.3f', t), '-') || ' |' AS line FROM c"""
+
+SQL["q14_special_references"] = r"""
+WITH lines AS (SELECT 'part/' || p_partkey AS file, p_brand || ' ~' || p_name || ' ' || p_type || ' ' || p_brand || ' ' || p_type AS line FROM part),
+names AS (SELECT DISTINCT p_brand AS name FROM part UNION SELECT DISTINCT '~' || string_split(p_name, ' ')[1] FROM part
+    UNION SELECT DISTINCT p_type || ' Brand#1' FROM part),
+counted AS (SELECT name, file,
+    CAST(len(regexp_extract_all(' ' || replace(line, ' ', '  ') || ' ', '[^A-Za-z0-9_]' || replace(name, ' ', '  ') || '[^A-Za-z0-9_]')) AS INTEGER) AS n
+    FROM lines, names)
+SELECT name, file, 1 AS line, CAST(unnest(range(0, n)) AS INTEGER) AS position FROM counted WHERE n > 0"""
