@@ -30,6 +30,8 @@ def rows_of(columns, rows):
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     result = contract.queries()[name](spark, FOLDER)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     answer = duck.execute(contract.oracle_sql()[name])
     columns = [d[0] for d in answer.description]
     assert sorted(result.columns) == sorted(columns)

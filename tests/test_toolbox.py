@@ -28,7 +28,8 @@ def box(spark):
                                      ("symbol", "s1", None, "RankNode", "n.h", "class")],
                                     "kind string, doc_id string, module_path string, name string, file string, symbol_kind string")
     return Toolbox(spark, Tables(
-        files, cards, includes.include_facts(files, cards), facts, references.reference_facts(files, tags, cards), docs, records, vectors,
+        files=files, cards=cards, includes=includes.include_facts(files, cards), symbols=facts,
+        references=references.reference_facts(files, tags, cards), corpus=docs, records=records, vectors=vectors,
     ), embed=lambda query: [0.0, 0.0])
 
 

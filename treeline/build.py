@@ -12,7 +12,7 @@ from treeline.operators import catalog, corpus, includes, references, searchinde
 from treeline.sources import jsonlines, repository
 from treeline.toolbox import Tables
 
-TABLES = ("files", "cards", "includes", "symbols", "references", "corpus")
+TABLES = ("files", "cards", "includes", "symbols", "module_symbols", "references", "corpus")
 
 
 def documentation(files: DataFrame, owned: DataFrame, cards: DataFrame) -> DataFrame:
@@ -31,18 +31,23 @@ def build_tables(spark: SparkSession, root: str, tags: str, out: str) -> None:
     Each stage reads the written result of the ones before it, so a lost executor
     or a restart repeats one stage at most.
     """
-    def store(name: str, df: DataFrame) -> DataFrame:
+    def store(name: str, df: DataFrame, *order: str) -> DataFrame:
+        """Write a table; in key order where lookups go by key, so they skip row groups."""
+        if order:
+            df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         df.write.mode("overwrite").parquet(f"{out}/{name}")
         return spark.read.parquet(f"{out}/{name}")
 
     files = store("files", repository.read_texts(spark, root))
     cards = store("cards", catalog.cards_of(files))
     sources = files.filter(suffix(F.col("file")).isin(*settings.C_SUFFIXES))
-    store("includes", includes.include_facts(sources, cards))
-    defined = store("symbols", symbols.symbol_facts(jsonlines.read_tags(spark, tags), cards, files.select("file")))
+    store("includes", includes.include_facts(sources, cards), "basename", "file", "line")
+    facts = symbols.symbol_facts(jsonlines.read_tags(spark, tags), cards, files.select("file"))
+    defined = store("symbols", facts, "name", "file", "line")
+    store("module_symbols", defined.filter("module_path IS NOT NULL"), "module_path", "file", "line")
     scanned = sources.join(references.source_files(defined), "file", "left_semi")
     found = references.reference_facts(scanned, defined, cards, references.symbol_hits(scanned, defined))
-    store("references", references.with_context(found, scanned))
+    store("references", references.with_context(found, scanned), "name", "file", "line")
 
     owned = catalog.module_files(files.select("file"), cards.select("module_path"))
     in_src = owned.filter(F.col("relative").startswith("src/")).select("module_path", "file")

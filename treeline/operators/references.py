@@ -54,8 +54,10 @@ def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
         for name in names
     ]
     return (
-        lines.select("file", (F.col("_i") + 1).alias("line"), F.explode(F.array(*counts)).alias("h"))
-        .filter("h.times > 0")
+        lines.select(
+            "file", (F.col("_i") + 1).alias("line"),
+            F.explode(F.filter(F.array(*counts), lambda h: h["times"] > 0)).alias("h"),
+        )
         .select(
             F.col("h.name").alias("name"), "file", "line",
             F.explode(F.sequence(F.lit(0), F.col("h.times") - 1)).alias("position"),

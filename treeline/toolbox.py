@@ -36,6 +36,7 @@ class Tables:
     cards: DataFrame | None = None
     includes: DataFrame | None = None
     symbols: DataFrame | None = None
+    module_symbols: DataFrame | None = None
     references: DataFrame | None = None
     corpus: DataFrame | None = None
     records: DataFrame | None = None
@@ -279,9 +280,10 @@ class Toolbox:
 
     def list_symbols_in_module(self, module_path: str, kind: str | None = None) -> dict:
         """List the symbols of a module."""
-        if self.tables.symbols is None:
+        by_module = self.tables.symbols if self.tables.module_symbols is None else self.tables.module_symbols
+        if by_module is None:
             return dict(MISSING)
-        found = symbols.symbols_in_module(self.tables.symbols, module_path, kind)
+        found = symbols.symbols_in_module(by_module, module_path, kind)
         rows = self._rows(found.orderBy("file", "line", "name", "kind"), "list_symbols_in_module")
         return {
             "ok": True, "module_path": module_path, "filter": {"kind": kind}, "symbols": rows, "symbol_count": len(rows)}
