@@ -31,7 +31,7 @@ from treeline.llm import rans
 from treeline.llm.common import new_folder, process_store, written
 
 BLOCK_IDS = 1 << 20
-CACHE_WORDS = 500_000
+STEMS, WORDS = 800_000, 200_000
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 BLOCK = "file_no int, path string, block int, offset long, bytes long, n_ids long"
 DOCUMENT = "doc_id long, first long, n_tokens long, ids_crc32 long, ids binary"
@@ -41,7 +41,7 @@ class WordCoder:
     """Ids of whole texts for a tokenizer that drops white space.
 
     Such a tokenizer treats each blank-separated word alone, so words are coded once and
-    remembered (up to a bound, then forgotten). Plain letters with ASCII punctuation behind
+    remembered (up to a bound, then forgotten; whole words from their second time on). Plain letters with ASCII punctuation behind
     them go to the library's model directly; everything else through all of its steps.
     """
 
@@ -62,22 +62,23 @@ class WordCoder:
         if (got := self.stems.get(low)) is None:
             pieces = [low] if low.isascii() else [p for p, _ in self.lib.pre_tokenizer.pre_tokenize_str(low)]
             got = self.packed([t.id for p in pieces for t in self.lib.model.tokenize(p)])
-            if len(self.stems) >= CACHE_WORDS:
+            if len(self.stems) >= STEMS:
                 self.stems.clear()
             self.stems[low] = got
         return got
 
     def word(self, word: str) -> bytes:
         plain = LETTERS.fullmatch(word)
+        again = not plain or plain[1].lower() in self.stems
         if plain and not plain[2]:
             got = self.stem(word)
         elif plain:
-            got = self.stem(plain[1]) + self.word(plain[2])
+            got = self.stem(plain[1]) + (self.words.get(plain[2]) or self.word(plain[2]))
         else:
             got = self.packed(self.lib.encode(word, add_special_tokens=False).ids)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        if len(word) < 100:
+        if again and len(word) < 100:
+            if len(self.words) >= WORDS:
+                self.words.clear()
             self.words[word] = got
         return got
 
