@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import tokenfiles, urlfilter, warc
+from treeline.llm import decontaminate, quality_rules, secretscan, tokenfiles, urlfilter, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secretscan.scan(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 #: Fixed values of the registered list: verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -35,6 +40,11 @@ def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 WORD_TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 
@@ -44,6 +54,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", F.col("first").alias("start"), "n_tokens", "ids_crc32")
 
 
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()
 }
@@ -86,4 +101,70 @@ SQL: dict[str, str] = {
           ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path)
         GROUP BY u.page_id
     """,
+    "op5_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), b AS (
+            SELECT item_id, regexp_extract_all(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+            FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item_id, least(len(words), 10) AS width,
+                   array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS gram
+            FROM (SELECT *, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM b WHERE len(words) > 0)
+        ), dw AS (
+            SELECT doc_id, i, width, array_to_string(words[i:i + width - 1], ' ') AS gram
+            FROM (SELECT d.*, width, unnest(range(1, len(words) - width + 2)) AS i
+                  FROM d CROSS JOIN (SELECT DISTINCT width FROM bw) WHERE len(words) >= width)
+        ), hits AS (
+            SELECT doc_id, i, dw.width, item_id FROM dw JOIN bw USING (width, gram)
+        ), hit_words AS (
+            SELECT doc_id, count(DISTINCT w) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + width)) AS w FROM hits) GROUP BY doc_id
+        ), hit_items AS (
+            SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                   string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items
+            FROM hits GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """,
+    "op7_quality_rules": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents
+        ), w AS (
+            SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n
+            FROM (SELECT doc_id, i, words[i:i + 7] AS gram
+                  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM t WHERE len(words) >= 8))
+        ), r AS (
+            SELECT doc_id, count(DISTINCT p) AS n_repeat_words
+            FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM w WHERE n > 1) GROUP BY doc_id
+        ), m AS (
+            SELECT t.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+                   CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
+                   length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS n_upper,
+                   length(regexp_replace(text, '[^!]+', '', 'g')) AS n_marks,
+                   len(list_filter(list_zip(words[1:-2], words[2:]), lambda x: x[1] = x[2])) AS n_stutter
+            FROM t LEFT JOIN r USING (doc_id)
+        ), f AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 20 * n_symbols > word_chars OR 2 * n_upper > word_chars OR 2 * n_marks > n_words
+                    OR 2 * (n_lines - n_dup_lines) < n_lines OR 10 * n_stutter > 3 * n_words) AS kept
+        FROM f
+    """,
 }
