@@ -22,32 +22,37 @@ from treeline.llm.common import bind, indexes, lower_ascii, written
 
 WIDTH = 10
 BOUND = 32 << 20
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_OF_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(WORD), 0)
+    """The words of a text, in the case they are written in."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), NO_WORD), lambda w: w != "")
 
 
-def windows(words: Column, width: Column | int) -> Column:
-    """(at, width, hash) of all windows of so many words."""
+def window_hashes(words: Column, width: Column | int) -> Column:
+    """Hashes of all windows of so many words; the words must be in lower case."""
     size = F.lit(width) if isinstance(width, int) else width
-    return F.transform(
-        indexes(1, F.size(words) - size + 1),
-        lambda i: F.struct(i.alias("at"), size.alias("width"), F.xxhash64(F.slice(words, i, size)).alias("hash")),
-    )
+    return F.transform(indexes(1, F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+
+
+def lowered(words: Column) -> Column:
+    """The words with A-Z, and nothing else, in lower case: what is compared in the end."""
+    return F.transform(words, lower_ascii)
 
 
 def benchmark_grams(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """hash, gram (its words), width, and the ids of the items it comes from, as strings."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words"))
-    rows = rows.filter(F.size("words") > 0)
-    size = F.least(F.size("words"), F.lit(width))
-    rows = rows.withColumn("w", F.explode(windows(F.col("words"), size)))
-    rows = rows.select("item", F.slice("words", F.col("w.at"), F.col("w.width")).alias("gram"), "w.hash", "w.width")
-    return rows.groupBy("hash", "gram", "width").agg(F.collect_set("item").alias("items"))
+    rows = rows.filter(F.size("words") > 0).withColumn("width", F.least(F.size("words"), F.lit(width)))
+    starts = F.explode(indexes(1, F.size("words") - F.col("width") + 1))
+    rows = rows.select("item", "width", "words", starts.alias("at"))
+    cut = F.slice("words", F.col("at"), F.col("width"))
+    rows = rows.select("item", "width", lowered(cut).alias("gram"))
+    hashed = F.xxhash64(F.transform("gram", lambda w: F.lower(w))).alias("hash")
+    return rows.select("*", hashed).groupBy("hash", "gram", "width").agg(F.collect_set("item").alias("items"))
 
 
 def row_key() -> Column:
@@ -62,15 +67,25 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bo
     weight = letters * 4 + 24 * (F.size("gram") + F.size("items")) + 100
     facts = grams.agg(F.sum(weight).alias("bytes"), F.collect_set("width").alias("widths")).first()
     rounds = -(-(facts["bytes"] or 0) // bound)
-    rows = docs.select(row_key().alias("key"), words_of(F.col("text")).alias("words"))
+    text = F.coalesce("text", F.lit(""))
+    low = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
+    widths = sorted(facts["widths"], reverse=True)
+    rows = docs.select(row_key().alias("key"), text.alias("text"), low.alias("low"))
     found = None
     for k in range(rounds):
         part = grams.filter(F.pmod(F.col("hash"), F.lit(rounds)) == k)
-        all_windows = F.concat(*(windows(F.col("words"), w) for w in sorted(facts["widths"])))
-        seen = rows.select("key", "words", F.explode(all_windows).alias("w"))
-        seen = seen.select("key", "words", "w.at", F.col("w.width").alias("span"), F.col("w.hash").alias("seen_hash"))
-        same = (F.col("seen_hash") == F.col("hash")) & (F.slice("words", F.col("at"), F.col("span")) == F.col("gram"))
-        hits = seen.join(F.broadcast(part), same).select("key", F.struct("at", "span").alias("span"), "items")
+        hashes = bind(F.col("low"), lambda w: F.concat(*(window_hashes(w, n) for n in widths)))
+        seen = rows.select("key", "text", F.size("low").alias("n"), F.posexplode(hashes).alias("place", "seen"))
+        # Hashes of full lower case find candidates; the words as written decide.
+        hits = seen.join(F.broadcast(part), F.col("seen") == F.col("hash"))
+        at = F.col("place")
+        before = F.lit(0)
+        for n in widths:
+            at = F.when(F.col("width") == n, F.col("place") - before + 1).otherwise(at)
+            before = before + F.greatest(F.lit(0), F.col("n") - n + 1)
+        hits = hits.withColumn("at", at).filter("at between 1 and n - width + 1")
+        hits = hits.filter(lowered(F.slice(words_of(F.col("text")), F.col("at"), F.col("width"))) == F.col("gram"))
+        hits = hits.select("key", F.struct("at", F.col("width").alias("span")).alias("span"), "items")
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         kinds = "key binary, span struct<at:int,span:int>, items array<string>"
