@@ -1,16 +1,53 @@
-"""The training-data pipeline: documents through filters, mixing and token files."""
+"""The training-data pipeline: quality rules, near-dedup, decontamination, mixing, token files."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from treeline.llm import decontaminate, mixing, quality_rules, simhash, tokenfiles
 from treeline.llm.common import written
-from treeline.llm.queries import op6_token_files  # noqa: F401
+from treeline.llm.queries import END_ID, WORD_TOKENIZER
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality_rules.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mixture takes, a row for each document and pass."""
+    return mixing.mixed_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: place, number and checksum of each row's ids."""
+    rows = tokenfiles.token_files(docs, public_tokenizers.path(WORD_TOKENIZER), END_ID)
+    return rows.select("doc_id", F.col("first").alias("start"), "n_tokens", "ids_crc32")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix", mix),
+    ("token_output", token_output),
+]
+
+#: SQL has no tokenizer; tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
