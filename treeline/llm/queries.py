@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm import decontaminate, mixing, quality_rules, secretscan, simhash, tokenfiles, urlfilter, warc
+from treeline.llm import (
+    decontaminate,
+    mixing,
+    quality_model,
+    quality_rules,
+    secretscan,
+    simhash,
+    tokenfiles,
+    toxicity,
+    urlfilter,
+    warc,
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +31,14 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), toxicity.held_out("doc_id", 5, 0)
+    labels = table(spark, folder, "labels").filter(~held).select("doc_id", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op3_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secretscan.scan(table(spark, folder, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -64,6 +83,14 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs, held = table(spark, folder, "documents"), toxicity.held_out("doc_id", 3, 1)
+    labels = table(spark, folder, "labels").filter(~held).select("doc_id", "quality")
+    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
