@@ -230,7 +230,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.sequence(F.floor(F.col("first") / length), F.floor((F.col("first") + F.col("size") - 1) / length))
         ).alias("of_block"),
     )
-    met = taken.join(pieces, (F.col("source_no") == F.col("of_source")) & (F.col("block") == F.col("of_block")))
+    # The size of generated slots is unknown to the planner, which would broadcast them.
+    met = taken.hint("merge").join(pieces, (F.col("source_no") == F.col("of_source")) & (F.col("block") == F.col("of_block")))
     start, end = F.col("block") * length, F.col("block") * length + F.col("words")
     met = met.withColumns(
         {
