@@ -80,7 +80,7 @@ def attach(big: DataFrame, small: DataFrame, on: str, count: str, spread: list[s
         "_spread", F.when(F.col("_hot").isNotNull() | F.col(on).isNull(), deal).otherwise(0)
     )
     rows = rows.join(
-        cold, (F.col(on) == F.col("_key")) & (F.col("_spread") == F.col("_deal")), "left"
+        cold.hint("merge"), (F.col(on) == F.col("_key")) & (F.col("_spread") == F.col("_deal")), "left"
     )
     found = F.coalesce("_hot_values", "_values")
     return rows.select(*big.columns, *(found[c].alias(c) for c in values))
