@@ -400,3 +400,30 @@ def test_label_sheet(spark):
     answers = spark.createDataFrame([("1", "a1"), ("2", ""), ("3", "a3"), ("4", "a4")], "case_id string, answer string")
     rows = datasets.label_sheet(cases, answers, 2).collect()
     assert sorted((r.case_id, r.answer, r.rubric) for r in rows) == [("1", "a1", "r"), ("4", "a4", "r")]
+
+
+def test_long_json_strings_are_flattened(spark):
+    from treeline.operators.checks import flatten_json
+
+    long = 'a\\"b\\\\ ' * 20_000
+    rows = spark.createDataFrame([('{"key": "' + long + '", "n": [1, true, null]}',)], "v string")
+    got = rows.select(flatten_json(F.col("v")).alias("x")).first().x
+    assert got == 'a"b\\ ' * 20_000 + " 1 True None"
+
+
+def test_distance_of_1024_dimensions(spark):
+    from treeline.operators.retrieval import nearest
+
+    rows = [("module", str(i), [float(i)] * 1024) for i in range(5)]
+    table = spark.createDataFrame(rows, "kind string, doc_id string, embedding array<float>")
+    got = nearest(table, [2.0] * 1024, 3).orderBy("rank").collect()
+    assert [(r.doc_id, r.distance) for r in got] == [("2", 0.0), ("1", 1024.0), ("3", 1024.0)]
+
+
+def test_scores_of_documents_in_parts_count_each_document_once(spark):
+    from treeline.operators.retrieval import bm25_topk
+
+    whole = [("module", "a", "red red blue"), ("module", "b", "blue green"), ("module", "c", "grey"), ("module", "d", "pink")]
+    parts = [("module", "a", "red"), ("module", "a", "red"), ("module", "a", "blue"), *whole[1:]]
+    score = lambda rows: [(r.doc_id, round(r.score, 9)) for r in bm25_topk(spark.createDataFrame(rows, "kind string, doc_id string, text string"), ["red"]).collect()]
+    assert score(whole) == score(parts) != []

@@ -39,7 +39,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_meant_to_have_none():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"q38_unified_diff"}
+    corpus = {n for n in contract.queries() if n.startswith("op") or n == "pipeline"}
+    assert set(contract.queries()) - set(contract.oracle_sql()) <= corpus
 
 
 def test_entry_runs(spark):

@@ -162,3 +162,13 @@ def test_build_and_lookups(spark, repo, tmp_path, capsys):
     assert cli.COMMANDS["references"](tables, "nothing") == 1
     assert cli.COMMANDS["stats"](tables, None) == 0
     assert '"basename": "rank_node.h"' in capsys.readouterr().out
+
+
+def test_tags_with_fields_of_other_types(spark, tmp_path):
+    path = tmp_path / "tags.json"
+    path.write_text(
+        '{"_type": "tag", "name": "a", "path": "x.h", "line": 3, "kind": "macro"}\n'
+        '{"_type": "tag", "name": "b", "path": "x.h", "line": true, "kind": "macro"}\n\n'
+        '{"_type": "tag", "name": "c", "path": "x.h", "line": {"no": 1}, "kind": "macro"}\n'
+    )
+    assert [(r.name, r.line) for r in jsonlines.read_tags(spark, str(path)).collect()] == [("a", 3)]

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from treeline import settings
 from treeline.functions.text import strip, without_blanks
 
-_JSON_VALUE = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|\{\s*\}|\[\s*\]'
-_JSON_KEY = r'"(?:[^"\\]|\\.)*"\s*:'
+# Possessive and unrolled: a plain alternation recurses once a character in Java.
+_JSON_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_JSON_VALUE = _JSON_STRING + r'|-?[0-9][0-9.eE+-]*|true|false|null|\{\s*\}|\[\s*\]'
+_JSON_KEY = _JSON_STRING + r'\s*:'
 
 
 def flatten_json(text: Column) -> Column:

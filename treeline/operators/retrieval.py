@@ -70,7 +70,7 @@ def bm25_topk(
         F.sum("dl").alias("tokens"),
         *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))],
     )
-    words = vocabulary(docs.filter(F.col("kind").isin(*KINDS))) if vocab is None else vocab
+    words = vocabulary(docs.filter(F.col("kind").isin(*KINDS)), multipart=True) if vocab is None else vocab
     mean = (
         words.join(F.broadcast(stats.select("kind", "n")), "kind")
         .groupBy("kind").agg(F.avg(_raw_idf(F.col("n"), F.col("df"))).alias("mean_idf"))
@@ -97,12 +97,9 @@ def bm25_topk(
 
 
 def squared_distance(vector: Column, query: list[float]) -> Column:
-    """Squared Euclidean distance in double precision, as one compiled arithmetic expression."""
-    total: Column = F.lit(0.0)
-    for i, q in enumerate(query):
-        gap = vector[i].cast("double") - F.lit(float(q))
-        total = total + gap * gap
-    return total
+    """Squared Euclidean distance in double precision; the plan's size is the same for any dimension."""
+    gaps = F.zip_with(vector.cast("array<double>"), F.lit([float(q) for q in query]), lambda a, b: a - b)
+    return F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap * gap)
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int = settings.PER_SIDE) -> DataFrame:

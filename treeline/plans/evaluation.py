@@ -335,13 +335,6 @@ def q37_guarded_replace(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("file", "ok", "occurrences", F.md5("text").alias("text_md5"))
 
 
-def q38_unified_diff(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = standins.files(spark, folder).select(
-        "file", F.col("text").alias("before"), F.regexp_replace("text", r"(?m)^The\b", "This").alias("after")
-    )
-    return editing.unified_diffs(pairs)
-
-
 def q40_settings(spark: SparkSession, folder: str) -> DataFrame:
     form = F.pmod("p_partkey", F.lit(3))
     lines = table(spark, folder, "part").select(

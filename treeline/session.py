@@ -52,13 +52,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a fresh one only where none is set."""
+    """The shared checkpoint folder the cluster names; a fresh one only on a single machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="treeline-checkpoint-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -19,8 +19,15 @@ def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Symbol definitions from a tag generator's JSON lines; one bad line fails the whole load."""
-    return valid_tags(spark.read.schema(schemas.TAG).option("mode", "FAILFAST").json(path))
+    """Symbol definitions from a tag generator's JSON lines.
+
+    A line that is no JSON fails the load; a record with a field of another type loses that
+    field, and so is dropped if it needs it.
+    """
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    broken = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 100)))
+    checked = F.when(F.try_parse_json("value").isNull(), broken.cast("string")).otherwise(F.col("value"))
+    return valid_tags(lines.select(F.from_json(checked, schemas.TAG).alias("r")).select("r.*"))
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
