@@ -194,7 +194,7 @@ def q15_scoped_references(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def q16_unreferenced(spark: SparkSession, folder: str) -> DataFrame:
-    defined = facts.definitions(spark, folder, least=1)
+    defined = facts.definitions(spark, folder)
     found = references.reference_facts(standins.files(spark, folder), defined, standins.modules(spark, folder))
     return references.unreferenced(defined, found)
 

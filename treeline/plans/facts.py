@@ -10,10 +10,6 @@ from treeline.functions.tokens import identifiers
 from treeline.plans import standins
 
 
-# Position of a word as one number: document times this, plus the line.
-LINE_SPAN = 1_000_000
-
-
 def first_lines(files: DataFrame) -> DataFrame:
     """First line of every identifier in every file: name, doc_id, line.
 
@@ -27,23 +23,18 @@ def first_lines(files: DataFrame) -> DataFrame:
     )
 
 
-def definitions(spark: SparkSession, folder: str, least: int = 2) -> DataFrame:
-    """Names found in 2 (or `least`) to 50 documents, defined where they first occur.
+def definitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every name, defined where it first occurs: name, file, line, kind, signature.
 
-    Columns: name, file, line, kind, signature. Uses that need different columns
-    still share one aggregation, because the validity filter reads all of them.
+    Uses that need different columns still share one aggregation, because the validity
+    filter reads all of them.
     """
     listing = standins.files(spark, folder).select("doc_id", "file")
-    spot = F.col("doc_id") * LINE_SPAN + F.col("line")
     per_name = (
         first_lines(standins.files(spark, folder))
         .groupBy("name")
-        .agg(F.count(F.lit(1)).alias("df"), F.min(spot).alias("spot"))
-        .filter(F.col("df").between(least, 50) & (F.col("spot") > 0))
-        .select(
-            "name", F.floor(F.col("spot") / LINE_SPAN).alias("doc_id"),
-            F.pmod("spot", F.lit(LINE_SPAN)).cast("int").alias("line"),
-        )
+        .agg(F.min("doc_id").alias("doc_id"), F.min_by("line", "doc_id").alias("line"))
+        .filter(F.col("doc_id").isNotNull() & (F.col("line") > 0))
     )
     return per_name.join(listing, "doc_id").select(
         "name", "file", "line", standins.kind_of(F.col("name")).alias("kind"),

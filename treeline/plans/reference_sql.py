@@ -32,21 +32,21 @@ frags AS (SELECT doc_id, source, file, line_no, 0 AS idx, 'include' AS fragment
 """
 
 
-def symbols(base: str, least: int = 2) -> str:
-    return base + f""",
+def symbols(base: str) -> str:
+    return base + """,
 firsts AS (SELECT name, doc_id, file, min(line_no) AS line FROM
     (SELECT doc_id, file, line_no, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM lines)
     GROUP BY name, doc_id, file),
-per_name AS (SELECT name, count(*) AS df, min(doc_id) AS doc_id FROM firsts GROUP BY name),
+per_name AS (SELECT name, min(doc_id) AS doc_id FROM firsts GROUP BY name),
 defs AS (SELECT f.name, f.file, CAST(f.line AS INTEGER) AS line, string_split(f.file, '/')[1] AS module_path,
     CASE WHEN regexp_matches(f.name, '^[A-Z][A-Z0-9_]*$') THEN 'macro' WHEN regexp_matches(f.name, '^[A-Z]') THEN 'class'
          ELSE 'member' END AS kind
-    FROM firsts f JOIN per_name p ON f.name = p.name AND f.doc_id = p.doc_id WHERE p.df BETWEEN {least} AND 50)
+    FROM firsts f JOIN per_name p ON f.name = p.name AND f.doc_id = p.doc_id)
 """
 
 
-def references(least: int = 2) -> str:
-    return symbols(LINES, least) + """,
+def references() -> str:
+    return symbols(LINES) + """,
 runs AS (SELECT file, source, line_no, line, regexp_extract_all(line, '[A-Za-z0-9_]+') AS ws FROM lines),
 hits AS (SELECT file, source, line_no, line, unnest(ws) AS name, unnest(range(0, len(ws))) AS pos FROM runs),
 refs AS (SELECT h.name, h.source AS module_path, h.file, CAST(h.line_no AS INTEGER) AS line, CAST(h.pos AS INTEGER) AS position,
@@ -201,7 +201,7 @@ SELECT name, CAST(rank AS INTEGER) AS rank, module_path, file, line, substring(t
 SQL["q15_scoped_references"] = "WITH " + references() + """
 SELECT name, module_path, count(*) AS refs FROM refs WHERE module_path = 'src3' GROUP BY ALL"""
 
-SQL["q16_unreferenced"] = "WITH " + references(1) + "SELECT name FROM defs WHERE name NOT IN (SELECT name FROM refs)"
+SQL["q16_unreferenced"] = "WITH " + references() + "SELECT name FROM defs ANTI JOIN refs USING (name)"
 
 SQL["q17_preferred_definition"] = "WITH " + symbols(LINES) + """,
 kinds AS (SELECT ['typedef', 'function', 'class', 'member', 'macro', 'enum', 'struct', 'namespace', 'prototype', 'variable'] AS k,
@@ -213,8 +213,8 @@ SELECT name, file, CAST(line AS INTEGER) AS line, kind FROM
 RELATED = symbols(FRAGMENTS) + """,
 near AS (SELECT d.name, f.fragment, min(f.line_no * 10 + f.idx) AS spot FROM defs d JOIN frags f
     ON f.file = d.file AND f.line_no BETWEEN d.line - 30 AND d.line + 30 GROUP BY ALL),
-related AS (SELECT d.name, substring(coalesce((SELECT string_agg(fragment, ' ' ORDER BY spot) FROM near n WHERE n.name = d.name), ''), 1, 1000)
-    AS related FROM defs d)
+joined AS (SELECT name, string_agg(fragment, ' ' ORDER BY spot) AS all_ FROM near GROUP BY name),
+related AS (SELECT d.name, substring(coalesce(j.all_, ''), 1, 1000) AS related FROM defs d LEFT JOIN joined j ON j.name = d.name)
 """
 SQL["q18_related_comments"] = "WITH " + RELATED + "SELECT name, related FROM related"
 
