@@ -52,6 +52,18 @@ def test_groups(spark):
     assert kept[0].__fields__ == ["doc_id", "text", "print"]
 
 
+def test_groups_without_ids_and_shared_ids_lose_no_text(spark):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(50)) for w in ("red", "green", "blue"))
+    rows = [(None, one), (None, one), (None, two), (7, three), (7, three), (7, two + " x"), (9, one + " y")]
+    docs = spark.createDataFrame(rows + [(3, "far away text of a few words"), (3, None)], "doc_id long, text string")
+    roots = {(r.doc_id, r.text_hash): r.root for r in simhash.near_groups(docs).collect()}
+    kept = simhash.one_of_each(docs).collect()
+    assert len(kept) == len(set(roots.values()))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept if r.text in (three, None)) == [(3, ""), (7, three)]
+    only_null = spark.createDataFrame([(None, one), (None, two), (None, three)], "doc_id long, text string")
+    assert sorted(r.text for r in simhash.one_of_each(only_null).collect()) == sorted([one, two, three])
+
+
 def test_small_trees_find_every_link_of_a_dense_shard(spark):
     rng = random.Random(1)
     base = rng.getrandbits(64)

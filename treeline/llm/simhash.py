@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm.common import LOWER, UPPER, attach, written
@@ -60,15 +60,20 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and print (the 64 bits as a signed long) of every row."""
+    """doc_id, text_hash and print (the 64 bits as a signed long) of every row."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [fingerprint(t, width, seed) for t in batch.column(1).to_pylist()]
+            prints = [fingerprint(t, width, seed) for t in batch.column(2).to_pylist()]
             signed = pa.array(np.array(prints, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], signed], ["doc_id", "text_hash", "print"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, print long")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, text_hash long, print long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 class Tree:
@@ -202,7 +207,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, print and component_id (the smallest doc_id that links reach) of every row."""
+    """doc_id, text_hash, print, root (a fingerprint that names the component) and component_id
+    (the smallest doc_id that links reach) of every row."""
     rows = written(fingerprints(docs), "fingerprints")
     nodes = rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "distinct-fingerprints")
@@ -210,16 +216,26 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = nodes.join(roots, F.col("print") == F.col("id"), "left").withColumn("root", F.coalesce("root", "print"))
     named = written(named.select("print", "first", "copies", "root"), "roots")
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("members"))
-    named = attach(named, groups, "root", "members", ["print"]).select("print", "copies", "component_id")
+    named = attach(named, groups, "root", "members", ["print"]).select("print", "copies", "root", "component_id")
     return attach(rows, written(named, "groups"), "print", "copies", ["doc_id"])
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The document with the smallest doc_id of each group, once; rows without id once a group.
+    """One row of each group: that with the smallest doc_id, then the smallest hash of its text.
 
-    Repeated rows of that doc_id fall to one, the one with the smallest hash of its text.
+    Null doc_ids come last, so a group of them keeps one row too. A doc_id that several texts
+    share may stay once for each of their groups; equal rows fall to one.
     """
-    leaders = near_groups(docs, radius).groupBy("component_id").agg(F.count(F.lit(1)).alias("rows"))
-    chosen = leaders.select(F.col("component_id").alias("_leader"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_leader")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    leaders = near_groups(docs, radius).groupBy("root").agg(F.min(place).alias("at")).select("at.*")
+    key = lambda: F.xxhash64("doc_id", "text_hash")
+    chosen = leaders.select(key().alias("_chosen"), F.col("doc_id").alias("_leader"), F.col("text_hash").alias("_leader_hash"))
+    rows = docs.withColumn("_row_hash", text_hash())
+    rows = rows.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "_row_hash"))
+    same = (
+        (F.col("_row") == F.col("_chosen"))
+        & F.col("doc_id").eqNullSafe(F.col("_leader"))
+        & (F.col("_row_hash") == F.col("_leader_hash"))
+    )
+    kept = rows.join(chosen, same, "left_semi")
+    return kept.dropDuplicates(["_row", "doc_id"]).select(*docs.columns)
