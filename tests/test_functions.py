@@ -62,7 +62,7 @@ def name_spec(value):
 
 
 def test_name_tokens(evaluate):
-    values = strings("ABab12_-./~", 10000, 9) + ["kvk_alliance_serv", "HTTPServer2.h", "RankMgr", "中心"]
+    values = strings("ABab12_-./~", 10000, 9) + ["oak_guild_feed", "HTTPServer2.h", "RankMgr", "中心"]
     assert evaluate(values, tokens.name_tokens) == [name_spec(v) for v in values]
 
 

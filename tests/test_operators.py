@@ -112,13 +112,13 @@ def test_salted_join_keeps_every_pair(spark):
 
 
 def test_longest_prefix_and_outermost(spark):
-    cards = spark.createDataFrame([("plt/foo",), ("\\plt\\foo/bar/ ",), ("plt",), ("",), (None,)], "module_path string")
-    names = ["plt/foo/a.cpp", "plt/foobar/a.cpp", "plt/foo/bar/x/y.h", "other/z.h", "plt/foo"]
+    cards = spark.createDataFrame([("parts/foo",), ("\\parts\\foo/bar/ ",), ("parts",), ("",), (None,)], "module_path string")
+    names = ["parts/foo/a.cpp", "parts/foobar/a.cpp", "parts/foo/bar/x/y.h", "other/z.h", "parts/foo"]
     paths = spark.createDataFrame([(n,) for n in names], "file string")
     got = {r.file: r.module_path for r in attribution.with_module(paths, paths, cards).collect()}
     assert got == {
-        "plt/foo/a.cpp": "plt/foo", "plt/foobar/a.cpp": "plt", "plt/foo/bar/x/y.h": "plt/foo/bar",
-        "other/z.h": None, "plt/foo": "plt/foo"}
+        "parts/foo/a.cpp": "parts/foo", "parts/foobar/a.cpp": "parts", "parts/foo/bar/x/y.h": "parts/foo/bar",
+        "other/z.h": None, "parts/foo": "parts/foo"}
     dirs = spark.createDataFrame([("a",), ("a/b",), ("ab",), ("c/d",), ("c/d/e",), ("c/d",)], "path string")
     assert sorted(r.path for r in attribution.outermost(dirs).collect()) == ["a", "ab", "c/d"]
 
@@ -225,7 +225,7 @@ def test_checks_on_steps(spark):
     assert make_run(spark, {}, steps=[WRITE, READ, EDIT]).read_before_write == 1.0
     assert make_run(spark, {}, steps=[("search_text", '{"relative_dir": " . "}', True, "{}")]).no_illegal_search == 0.0
     assert make_run(spark, {}, steps=[("search_text", "not json", True, "{}")]).no_illegal_search == 0.0
-    assert make_run(spark, {}, steps=[("search_text", '{"relative_dir": "plt/x"}', True, "{}")]).no_illegal_search == 1.0
+    assert make_run(spark, {}, steps=[("search_text", '{"relative_dir": "parts/x"}', True, "{}")]).no_illegal_search == 1.0
     assert make_run(spark, {"root_cause_symbol": "y.h"}, steps=[READ]).root_cause_located == 1.0
     assert make_run(spark, {"root_cause_file": "y.h"}, steps=[EDIT]).read_target_file == 0.0
 

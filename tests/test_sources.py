@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from treeline.operators import catalog, grading
+from treeline.operators import catalog, grading, references
 from treeline.sources import jsonlines, repository
 from treeline.streaming import steps
 
@@ -14,15 +14,15 @@ from treeline.streaming import steps
 def repo(tmp_path_factory):
     root = tmp_path_factory.mktemp("repo")
     put = {
-        "plt/rank_serv/conf/serv_info.conf": b"; note\n[main]\nmodule_name = \"\"\nModule_Name: 'RankServ',\nmodule_type = core ; x\n",
-        "plt/rank_serv/src/main.cpp": b'#include "rank_node.h"\r\nint main;\r\n',
-        "plt/rank_serv/src/core/utils/a_conf.h": "// 排行榜\n".encode("gbk"),
-        "plt/rank_serv/README.md": "﻿标题\n".encode("utf-8"),
-        "plt/rank_serv/doc/deep/x.txt": b"doc",
-        "plt/rank_serv/other/y.txt": b"no doc",
-        "plt/rank_serv/.git/src/main.cpp": b"skip",
-        "plt/kvk_event_serv/src/rank_node.h": b"\xff\xfe\x81",
-        "plt/plain_event_serv/readme.md": b"no src directory",
+        "parts/rank_serv/conf/serv_info.conf": b"; note\n[main]\nmodule_name = \"\"\nModule_Name: 'RankServ',\nmodule_type = core ; x\n",
+        "parts/rank_serv/src/main.cpp": b'#include "rank_node.h"\r\nint main;\r\n',
+        "parts/rank_serv/src/core/utils/a_conf.h": "// 排行榜\n".encode("gbk"),
+        "parts/rank_serv/README.md": "﻿标题\n".encode("utf-8"),
+        "parts/rank_serv/doc/deep/x.txt": b"doc",
+        "parts/rank_serv/other/y.txt": b"no doc",
+        "parts/rank_serv/.git/src/main.cpp": b"skip",
+        "parts/oak_event_serv/src/rank_node.h": b"\xff\xfe\x81",
+        "parts/ash_event_serv/readme.md": b"no src directory",
     }
     for name, content in put.items():
         path = root / name
@@ -33,10 +33,10 @@ def repo(tmp_path_factory):
 
 def test_texts_with_encoding_fallback(spark, repo):
     texts = {r.file: r.text for r in repository.read_texts(spark, repo).collect()}
-    assert texts["plt/rank_serv/src/main.cpp"] == '#include "rank_node.h"\nint main;\n'
-    assert texts["plt/rank_serv/src/core/utils/a_conf.h"] == "// 排行榜\n"
-    assert texts["plt/rank_serv/README.md"] == "标题\n"
-    assert texts["plt/kvk_event_serv/src/rank_node.h"] == b"\xff\xfe\x81".decode("latin-1")
+    assert texts["parts/rank_serv/src/main.cpp"] == '#include "rank_node.h"\nint main;\n'
+    assert texts["parts/rank_serv/src/core/utils/a_conf.h"] == "// 排行榜\n"
+    assert texts["parts/rank_serv/README.md"] == "标题\n"
+    assert texts["parts/oak_event_serv/src/rank_node.h"] == b"\xff\xfe\x81".decode("latin-1")
     assert not any(".git/" in f for f in texts)
     headers = repository.read_files(spark, repo, (".h",)).select("file").collect()
     assert len(headers) == 2
@@ -48,19 +48,19 @@ def test_module_cards(spark, repo):
     config = repository.read_texts(spark, repo)
     files = listing.join(config, "file", "left")
     cards = {r.module_path: r for r in catalog.cards_of(files).collect()}
-    assert set(cards) == {"plt/rank_serv", "plt/kvk_event_serv"}
-    card = cards["plt/rank_serv"]
+    assert set(cards) == {"parts/rank_serv", "parts/oak_event_serv"}
+    card = cards["parts/rank_serv"]
     assert (card.module_name, card.module_type) == ("RankServ", "core")
-    assert card.top_dirs == ["conf", "doc", "other", "src"]
+    assert card.top_dirs == [".git", "conf", "doc", "other", "src"]
     assert card.config_files == ["serv_info.conf"]
     assert card.doc_files == ["README.md", "doc/deep/x.txt"]
     assert card.entry_files == ["src/main.cpp"]
     assert card.signals == {"has_src": True, "has_core_utils": True, "has_global_serv": False, "has_event_process": False,
                             "has_rank_node": False, "has_conf_loader": True}
-    other = cards["plt/kvk_event_serv"]
+    other = cards["parts/oak_event_serv"]
     assert other.module_name is None and other.signals["has_rank_node"]
     assert {(r.lack, r.module_path) for r in catalog.plain_modules(catalog.cards_of(files)).collect()} == {
-        ("no type", "plt/kvk_event_serv")}
+        ("no type", "parts/oak_event_serv")}
 
 
 def test_tags(spark, tmp_path):
@@ -142,22 +142,22 @@ def test_build_and_lookups(spark, repo, tmp_path, capsys):
 
     tags = tmp_path / "tags.json"
     tags.write_text("\n".join(json.dumps({"_type": "tag", "name": n, "path": p, "line": i, "kind": k}) for n, p, i, k in [
-        ("main", "plt/rank_serv/src/main.cpp", 2, "function"), ("rank_node", "plt/kvk_event_serv/src/rank_node.h", 1, "class"),
-        ("helper", "plt/rank_serv/src/core/utils/a_conf.h", 1, "member")]))
+        ("main", "parts/rank_serv/src/main.cpp", 2, "function"), ("rank_node", "parts/oak_event_serv/src/rank_node.h", 1, "class"),
+        ("helper", "parts/rank_serv/src/core/utils/a_conf.h", 1, "member")]))
     out = str(tmp_path / "tables")
     build.build_tables(spark, repo, str(tags), out)
     tables = build.load_tables(spark, out)
     docs = {(r.doc_id, r.part): r.text for r in tables.corpus.collect()}
-    assert ("module:plt/rank_serv#comments", "") in docs and docs[("module:plt/rank_serv#comments", "")].endswith("排行榜")
-    assert docs[("module:plt/rank_serv#docs", "0/README.md")] == "标题\n"
+    assert ("module:parts/rank_serv#comments", "") in docs and docs[("module:parts/rank_serv#comments", "")].endswith("排行榜")
+    assert docs[("module:parts/rank_serv#docs", "0/README.md")] == "标题\n"
     assert "related_chinese:\n排行榜" in docs[("symbol:helper", "")]
-    assert [(r.name, r.file, r.line) for r in tables.references.collect()] == [("rank_node", "plt/rank_serv/src/main.cpp", 1)]
+    assert [(r.name, r.file, r.line) for r in tables.references.collect()] == [("rank_node", "parts/rank_serv/src/main.cpp", 1)]
     vectors = build.embed_corpus(tables.corpus, lambda texts: [[len(t), 1.0] for t in texts])
     assert vectors.count() == tables.records.count()
     box = Toolbox(spark, tables, embed=lambda q: [0.0, 1.0])
     box.tables.vectors = vectors
     answer = box.call("resolve_term", '{"query": "rank"}')
-    assert {m["module_path"] for m in answer["candidates"]["modules"]} == {"plt/rank_serv", "plt/kvk_event_serv"}
+    assert {m["module_path"] for m in answer["candidates"]["modules"]} == {"parts/rank_serv", "parts/oak_event_serv"}
     assert cli.COMMANDS["header"](tables, "rank_node.h") == 0
     assert cli.COMMANDS["references"](tables, "nothing") == 1
     assert cli.COMMANDS["stats"](tables, None) == 0
@@ -172,3 +172,43 @@ def test_tags_with_fields_of_other_types(spark, tmp_path):
         '{"_type": "tag", "name": "c", "path": "x.h", "line": {"no": 1}, "kind": "macro"}\n'
     )
     assert [(r.name, r.line) for r in jsonlines.read_tags(spark, str(path)).collect()] == [("a", 3)]
+
+
+def test_hidden_names_are_read(spark, tmp_path):
+    put = ("src/__init__.py", "src/_impl.h", "src/a.h", ".env", ".ci/x.yml", "_odd/deep/b.h", "node/.git/c.h", ".git/d.h")
+    for name in put:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    read = {r.file: r.text for r in repository.read_texts(spark, str(tmp_path)).collect()}
+    assert read == {n: n for n in put[:6]}
+    as_uri = repository.read_files(spark, f"file://{tmp_path}/", (".h",), prune=False)
+    assert {r.file for r in as_uri.collect()} == {n for n in put if n.endswith(".h")}
+    (tmp_path / "none").mkdir()
+    assert repository.read_texts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tag_paths_become_relative(spark, tmp_path):
+    path = tmp_path / "tags.json"
+    paths = ["/w/repo/src/a.h", "src/a.h", "./src/./a.h", "src/x/../a.h", "src\\\\a.h", "/other/a.h", "../a.h", "/w/repository/a.h"]
+    path.write_text("".join(
+        '{"_type": "tag", "name": "n%d", "path": "%s", "line": 1, "kind": "macro"}\n' % p for p in enumerate(paths)))
+    got = {r.name: r.file for r in jsonlines.read_tags(spark, str(path), "/w/repo/").collect()}
+    assert [got[f"n{i}"] for i in range(len(paths))] == ["src/a.h"] * 5 + ["/other/a.h", "../a.h", "/w/repository/a.h"]
+
+
+def test_names_without_word_characters(spark):
+    files = spark.createDataFrame([("a.h", "变量 = 变量;\nx变量y\n量变 +\n"), ("b.h", None), ("c.h", "")], "file string, text string")
+    names = spark.createDataFrame([("变量",), ("+",), ("",), (None,), ("变量",)], "name string")
+    got = sorted(tuple(r) for r in references.special_hits(files, names).collect())
+    assert got == [("+", "a.h", 3, 0), ("变量", "a.h", 1, 0), ("变量", "a.h", 1, 1)]
+
+
+def test_lookups_print_every_row(spark, capsys):
+    from treeline import __main__ as cli
+    from treeline.toolbox import Tables
+
+    rows = spark.range(100).select(
+        F.lit("f").alias("name"), F.lit("m").alias("module_path"), F.concat(F.lit("x"), "id").alias("file"),
+        F.lit(1).alias("line"), F.lit("function").alias("kind"), F.lit(None).cast("string").alias("signature"))
+    assert cli._symbol(Tables(symbols=rows), "f") == 0
+    assert len(capsys.readouterr().out.splitlines()) == 100

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from treeline import build, settings
 from treeline.operators import catalog, corpus, includes, references, symbols
-from treeline.operators.distributed import first_per_key
 from treeline.session import build_session
 
 
@@ -36,11 +35,12 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _show(df) -> int:
-    """Print a bounded report as JSON lines; 1 when it is empty."""
-    rows = df.collect()
-    for row in rows:
+    """Print every row as a JSON line, a partition at a time; 1 when there is none."""
+    code = 1
+    for row in df.toLocalIterator():
         print(json.dumps(row.asDict(recursive=True), ensure_ascii=False))
-    return 0 if rows else 1
+        code = 0
+    return code
 
 
 def _stats(tables, _) -> int:
@@ -53,18 +53,18 @@ def _stats(tables, _) -> int:
 
 def _header(tables, key) -> int:
     graph = includes.include_graph(tables.includes, key)
-    return _show(first_per_key(graph, ["facet"], [F.col("refs").desc(), F.col("key").asc()], settings.MAX_LIST_ITEMS))
+    return _show(graph.orderBy("facet", F.col("refs").desc(), "key"))
 
 
 def _symbol(tables, key) -> int:
-    return _show(symbols.find_definition(tables.symbols, key).orderBy("file", "line").limit(settings.MAX_LIST_ITEMS))
+    return _show(symbols.find_definition(tables.symbols, key).orderBy("file", "line"))
 
 
 def _references(tables, key) -> int:
     """Counts per module, the modules unknown last, then the first references."""
     hits = tables.references.filter(F.col("name") == key)
     counts = references.module_counts(hits).orderBy(
-        F.col("module_path").isNull(), F.col("refs").desc(), "module_path").limit(settings.MAX_LIST_ITEMS)
+        F.col("module_path").isNull(), F.col("refs").desc(), "module_path")
     found = _show(counts)
     _show(hits.orderBy("file", "line", "position").limit(settings.TOP_NAMES))
     return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +41,12 @@ def build_tables(spark: SparkSession, root: str, tags: str, out: str) -> None:
         return spark.read.parquet(f"{out}/{name}")
 
     files = store("files", repository.read_texts(spark, root))
-    cards = store("cards", catalog.cards_of(files))
+    # Directory lists of cards name every directory, also those that are not read.
+    listing = repository.listed_files(spark, root, prune=False)
+    cards = store("cards", catalog.cards_of(listing.join(files, "file", "left")))
     sources = files.filter(suffix(F.col("file")).isin(*settings.C_SUFFIXES))
     store("includes", includes.include_facts(sources, cards), "basename", "file", "line")
-    facts = symbols.symbol_facts(jsonlines.read_tags(spark, tags), cards, files.select("file"))
+    facts = symbols.symbol_facts(jsonlines.read_tags(spark, tags, urlsplit(repository.location(root)).path), cards, files.select("file"))
     defined = store("symbols", facts, "name", "file", "line")
     store("module_symbols", defined.filter("module_path IS NOT NULL"), "module_path", "file", "line")
     scanned = sources.join(references.source_files(defined), "file", "left_semi")

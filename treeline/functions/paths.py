@@ -59,7 +59,6 @@ def is_safe(path: Column) -> Column:
     return (cleaned != "") & ~cleaned.startswith("/") & (depth >= 0)
 
 
-_GLOB_PIECES = ("**/", "**", "*", "?")
 _GLOB_REGEX = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 
 

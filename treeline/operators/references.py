@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treeline import settings
@@ -65,13 +65,18 @@ def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
+def _marks(text: Column) -> Column:
+    """The characters that are neither blanks nor ASCII word characters."""
+    return F.regexp_extract_all(text, F.lit(r"[^A-Za-z0-9_\s]"), F.lit(0))
+
+
 def special_hits(files: DataFrame, names: DataFrame) -> DataFrame:
     """Occurrences of any number of names that hold other characters: name, file, line, position.
 
     Every run of word characters inside such a name is a whole word of a line the
     name occurs on. So the longest run finds the candidate lines by an equi-join, and
-    only those are searched for the full name. (A name without any word character
-    is not found here; symbols always have one.)
+    only those are searched for the full name. A name without word characters is
+    anchored by its character of the highest code point instead.
     """
     runs = F.transform(word_runs(F.col("name")), lambda r: F.struct(F.length(r).alias("n"), r.alias("anchor")))
     anchored = (
@@ -81,6 +86,10 @@ def special_hits(files: DataFrame, names: DataFrame) -> DataFrame:
     lines = files.select("file", F.posexplode(split_lines(F.col("text"), RETURN_ONLY)).alias("_i", "_line"))
     words = lines.select("file", "_i", F.explode(F.array_distinct(word_runs(F.col("_line")))).alias("anchor"))
     candidates = words.join(anchored, "anchor").select("file", "_i", "name")
+    bare = names.select("name").distinct().filter(F.size(word_runs(F.col("name"))) == 0)
+    bare = bare.select("name", F.array_max(_marks(F.col("name"))).alias("anchor")).filter("anchor IS NOT NULL")
+    marks = lines.select("file", "_i", F.explode(F.array_distinct(_marks(F.col("_line")))).alias("anchor"))
+    candidates = candidates.unionByName(marks.join(bare, "anchor").select("file", "_i", "name"))
     texts = files.select("file", split_lines(F.col("text"), RETURN_ONLY).alias("_lines"))
     quoted = F.concat(F.lit("\\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pattern = F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))

@@ -10,13 +10,39 @@ from treeline.functions.paths import base_name, posix
 from treeline.operators.attribution import with_module
 
 
-def valid_tags(records: DataFrame) -> DataFrame:
-    """Tag records that carry a name, path, line and kind; others are dropped."""
+def relative_file(path: Column, root: str | None = None) -> Column:
+    """A path as the repository at `root` names its files, without `.` and `..` steps.
+
+    Absolute paths below `root` lose it; any other absolute path stays as it is and
+    matches no file.
+    """
+    plain = posix(path)
+    if root is not None:
+        front = root.replace("\\", "/").rstrip("/") + "/"
+        plain = F.when(F.startswith(plain, F.lit(front)), F.substring(plain, F.lit(len(front) + 1), F.length(plain))).otherwise(plain)
+    # A climb drops the step before it; climbs out of the repository stay.
+    def step(done: Column, name: Column) -> Column:
+        climbs = (name == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != "..")
+        return (
+            F.when(name.isin("", "."), done)
+            .when(climbs, F.slice(done, 1, F.size(done) - 1))
+            .otherwise(F.concat(done, F.array(name)))
+        )
+
+    steps = F.aggregate(F.split(plain, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(F.startswith(plain, F.lit("/")), "/").otherwise(""), F.array_join(steps, "/"))
+
+
+def valid_tags(records: DataFrame, root: str | None = None) -> DataFrame:
+    """Tag records that carry a name, path, line and kind; others are dropped.
+
+    Files are named relative to the repository at `root`.
+    """
     return records.filter(
         (F.col("_type") == "tag")
         & (F.col("name") != "") & (F.col("path") != "") & (F.col("kind") != "") & F.col("line").isNotNull()
     ).select(
-        "name", posix(F.col("path")).alias("file"), F.col("line").cast("int").alias("line"), "kind", "signature"
+        "name", relative_file(F.col("path"), root).alias("file"), F.col("line").cast("int").alias("line"), "kind", "signature"
     )
 
 

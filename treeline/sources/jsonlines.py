@@ -18,8 +18,8 @@ def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return kept.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
 
 
-def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """Symbol definitions from a tag generator's JSON lines.
+def read_tags(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
+    """Symbol definitions from a tag generator's JSON lines, files relative to the repository at `root`.
 
     A line that is no JSON fails the load; a record with a field of another type loses that
     field, and so is dropped if it needs it.
@@ -27,7 +27,7 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(strip(F.col("value")) != "")
     broken = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("value", 1, 100)))
     checked = F.when(F.try_parse_json("value").isNull(), broken.cast("string")).otherwise(F.col("value"))
-    return valid_tags(lines.select(F.from_json(checked, schemas.TAG).alias("r")).select("r.*"))
+    return valid_tags(lines.select(F.from_json(checked, schemas.TAG).alias("r")).select("r.*"), root)
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
