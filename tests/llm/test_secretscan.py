@@ -51,5 +51,33 @@ def test_random_strings_are_found_and_patterned_ones_are_not(spark):
     assert not any(got[i] for i in range(200, 300))
 
 
+def test_values_beside_names_letters_only_and_short_secrets_are_found(spark):
+    rng = random.Random(5)
+    letters = string.ascii_letters + string.digits
+    forms = [  # text before, alphabet, length, text after, padding that belongs to the span
+        ("aws_secret_access_key=", letters + "+/", 40, " end", 0),
+        ("aws_secret_access_key=", letters + "+/", 42, "==\nend", 2),
+        ("client_secret_value=", letters, 32, "&x=1", 0),
+        ("key ", string.ascii_letters, 40, "", 0),
+        ("name=", string.ascii_uppercase + "234567", 16, ",", 0),
+        ("name=", letters, 16, ",", 0),
+        ("name=", letters + "+/", 18, "=x", 0),
+    ]
+    rows, want = [], []
+    for form, (before, alphabet, n, after, padding) in enumerate(forms):
+        for _ in range(200):
+            rows.append(before + "".join(rng.choices(alphabet, k=n)) + after)
+            want.append((form, f"random:{len(before)}:{len(before) + n + padding}"))
+    # So many patterned strings that the limit of their classes is near the level.
+    plain = ["internationalization", "getElementByIdFromDocument", "-" * 40, "the_name_of_a_long_setting=1", "xyzxyz123" * 6]
+    plain += ["a_setting_of_some_sort_1=another_setting_of_some_sort_2", "key_name_in_a_table="]
+    rows += [x for x in plain for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secretscan.scan(docs).collect()}
+    found = [sum(got[i] == span for i, (f, span) in enumerate(want) if f == form) for form in range(len(forms))]
+    assert min(found) >= 170, found
+    assert not any(got[i] for i in range(len(want), len(rows)))
+
+
 def test_empty_table(spark):
     assert secretscan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0

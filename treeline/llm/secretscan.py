@@ -1,14 +1,16 @@
 """Secrets in text: named patterns, and strings that pass a battery of randomness tests.
 
-All in DataFrame operations. A candidate is a run of 20 or more characters of the base64 and
-url alphabets with a letter and a digit. Its encoding (hex, base32, base62, base64) is inferred
-from the characters it uses; under the hypothesis that its characters are drawn evenly from
-that alphabet, three tests give z values: chi-squared uniformity (with the exact moments of
+All in DataFrame operations. A candidate is a run of characters of the base64 and url alphabets
+with a letter, and the padding at its end; any other '=' parts candidates, so a name and the
+value set to it are tested on their own. Its encoding (hex, base32, letters, base62, base64) is
+inferred from the characters it uses; a run shorter than `bits` of information in its encoding
+is not tested. Under the hypothesis that its characters are drawn evenly from that alphabet,
+three tests give z values: chi-squared uniformity (with the exact moments of
 small samples), runs above and below the alphabet's middle, and serial correlation. Their
 p-values are combined by Fisher's method. Benjamini and Hochberg's step-up rule, applied among
 candidates of like length and encoding over the whole corpus, decides which strings are
 declared not random; the share of random strings among those is held to `level` at every length.
-The rest, if long enough to carry `bits` of information, are reported as kind `random`.
+The rest are reported as kind `random`.
 
 Defined results
 * Null text: no span. Offsets are code points, ends exclusive.
@@ -33,17 +35,22 @@ HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}+"
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: name, pattern, alphabet; the first that matches is taken.
 ENCODINGS = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", r"^[A-Z2-7]+=*$", UPPER + "234567"),
+    ("letters", r"^[A-Za-z]+$", UPPER + LOWER),
     ("base62", r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
     ("base64", r".", UPPER + LOWER + DIGITS + "+/"),
 )
 LEVEL = 0.05
 BITS = 80.0
+#: The least length that carries BITS in some encoding, then padding that nothing follows.
+LEAST_RUN = math.ceil(BITS / math.log2(max(len(alphabet) for _, _, alphabet in ENCODINGS)))
+CANDIDATE = (
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_RUN},}}+(?:={{1,6}}(?![A-Za-z0-9+/=_-]))?"
+)
 #: p-values are counted in steps of a tenth of their decimal logarithm, down to 1e-30.
 STEPS, DEEPEST = 10, 30
 GROUP = 128
@@ -199,8 +206,8 @@ def battery(hit: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """(start, end, encoding, size, p, bits) of every string that is put to the tests."""
-    mixed = lambda hit: F.regexp_like(hit, F.lit("[0-9]")) & F.regexp_like(hit, F.lit("[A-Za-z]"))
-    found = spans_of(text, CANDIDATE, "random", mixed)
+    lettered = lambda hit: F.regexp_like(hit, F.lit("[A-Za-z]"))
+    found = spans_of(text, CANDIDATE, "random", lettered)
     made = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), battery(s["hit"]).alias("t")))
     return F.filter(made, lambda s: s["t"]["bits"] >= BITS)
 
