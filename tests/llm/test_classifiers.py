@@ -53,6 +53,24 @@ def test_gapped_and_padded_insults_score_like_the_plain_ones(spark):
     assert all(0 <= s <= 1 for s in got)
 
 
+def test_insults_in_pieces_score_like_the_plain_ones(spark):
+    docs = planted(random.Random(4))
+    rows = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    model = toxicity.fit(rows, spark.createDataFrame([(d[0], d[2]) for d in docs], "doc_id long, toxic int"))
+    texts = ["lo ra p  i  l  l  o  c  k mi", "lora w\na\nz\nz\no\nc\nk", "lora p\u00a0i\u00a0l\u00a0l\u00a0o\u00a0c\u00a0k", "such n u m p t y.",
+             "lora pill ock mi", "(w azzock)", "lora pi l l ock mi", "mi nu-mp-ty", "p - i - l - l - o - c - k", "a pil, lo, ck!"]
+    clean = [" ".join(d[1].split()[:40]) for d in docs[100:]] + ["l o r a mi", "a b c d e f g", "mi\nta\nlo"]
+    scored = toxicity.score(spark.createDataFrame(list(enumerate(texts + clean)), "doc_id long, text string"), model)
+    got = [r.score for r in scored.orderBy("doc_id").collect()]
+    assert min(got[: len(texts)]) > max(0.5, max(got[len(texts) :])), (got[: len(texts)], max(got[len(texts) :]))
+
+
+def test_units_keep_every_piece_and_join_neighbours():
+    units = toxicity.units_of("such i d i o t. and st u p id, S  T\nU\u00a0P I D! st upid")
+    assert {"idiot", "stupid", "such", "t.", "and", "upid"} <= units
+    assert toxicity.units_of(None) == toxicity.units_of(" . ") - {"."} == set()
+
+
 def test_labels_of_one_kind_or_none(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, None)], "doc_id long, text string")
     for labels, want in (([], 0.0), ([(1, 0)], 0.0), ([(1, 1)], 1.0)):

@@ -1,14 +1,20 @@
 """Toxicity by a gapped-subsequence kernel machine with Nystroem landmarks.
 
-Units are the blank-separated strings of the labelled sentences, and runs of single characters
-joined to one. A unit is a row of character classes between two end marks. Its features are all
+Units are the blank-separated strings of a text and what neighbours give when joined, whatever
+white space or lone punctuation parts them and without punctuation at their ends: two strings
+of JOINED characters together, any that follow each other in a run of strings of at most SHORT
+characters if they have JOINED together, and whole runs of single characters or of such short
+strings. An insult of over JOINED characters cut into longer pieces isn't joined.
+A unit is a row of character classes between two end marks. Its features are all
 subsequences of three characters within SPAN places, weighted DECAY for each place skipped, so
 insults with gaps or inserted characters stay close to the plain ones. Landmarks are the units
-that mark toxic documents most clearly and frequent ones of the others; after each fit the units
-of clean documents that score highest join the training set. The kernel between
+that mark toxic documents most clearly and frequent ones of the others, joined ones left out;
+after each fit the units of clean documents that score highest join the training set. The kernel between
 landmarks gives the Nystroem map, and a support vector machine (squared hinge) is fitted on it.
 As the kernel's features are explicit, the machine folds into one table of weights, so scoring
 needs no landmark. A document scores by its most toxic unit, calibrated by a logistic curve.
+Joined units, of which a text has many by chance, count less by an offset that keeps CALM of the
+sampled clean documents below even odds.
 
 Bounds of the training sample (the only rows that are sampled): SAMPLE documents of each label,
 MARKERS toxic, PLAIN other units and HARD more of these a round. Every text is scored whole.
@@ -25,6 +31,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,23 +51,54 @@ STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 WINDOW, STRIDE = 48, 28
 NEUTRAL = -4.0
 CACHE = 400_000
-SPACED = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
+SHORT, JOINED = 3, 12
+CALM = 0.99
 #: Fixed look-alikes: what a reader takes the character for.
 LOOKS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ0134578@$", "aaaaaaceeeeiiiinoooooouuuuyyoieastbas")
 INNER = re.compile(r"[^\w]+|_+")
 
 
+ENDS = "\"'.,;:!?()[]{}*#%&|<>-_/\\~+="
+
+
+@lru_cache(100_000)
+def bare(piece: str) -> str:
+    return INNER.sub("", piece.translate(LOOKS))
+
+
+def parts_of(text: str | None) -> tuple[set[str], set[str]]:
+    """The text's own units (strings, spelled-out runs), and those joined from neighbours."""
+    pieces = (text or "").lower().split()
+    cores = [c for p in pieces if (c := p if p.isascii() and p.isalpha() else bare(p))]
+    own = set(pieces)
+    joined = {a + b for a, b in zip(cores, cores[1:]) if len(a) + len(b) <= JOINED}
+    for single, run in groupby(cores, lambda c: len(c) == 1):
+        if single and len(run := list(run)) > 2:
+            own.add("".join(run))
+    for short, run in groupby(cores, lambda c: len(c) <= SHORT):
+        if not short or len(run := list(run)) < 3:
+            continue
+        joined.add("".join(run))
+        for at, unit in enumerate(run):
+            for core in run[at + 1 : at + JOINED]:
+                unit += core
+                if len(unit) > JOINED:
+                    break
+                joined.add(unit)
+    return own, joined - own
+
+
 def units_of(text: str | None) -> set[str]:
-    low = (text or "").lower()
-    units = set(low.split())
-    units.update("".join(m.split()) for m in SPACED.findall(low))
-    return units
+    own, joined = parts_of(text)
+    return own | joined
 
 
 def spellings(unit: str) -> list[str]:
     """The unit with and without what stands between its letters, in windows if long."""
+    if len(unit) <= STRIDE and unit.isascii() and unit.isalpha():
+        return [unit]
     seen = unit.translate(LOOKS)
-    core = seen.strip("\"'.,;:!?()[]{}*#%&|<>-_/\\~+=")
+    core = seen.strip(ENDS)
     both = dict.fromkeys([core, INNER.sub("", core)])
     out = []
     for s in both:
@@ -115,6 +154,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    offset: float = 0.0
 
     def units(self, strings: list[str]) -> np.ndarray:
         out = np.empty(len(strings))
@@ -128,10 +168,10 @@ class Model:
             out[part] = total / scale_of(codes) + self.bias
         return out
 
-    def margins(self, texts: list[str | None], known: dict[str, float]) -> list[float]:
-        """The margin of the most toxic unit of each text; `known` remembers units."""
-        sets = [units_of(t) for t in texts]
-        fresh = list(set().union(*sets) - known.keys()) if sets else []
+    def margins(self, texts: list[str | None], known: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """The margins of the most toxic own and joined unit of each text; `known` remembers units."""
+        sets = [parts_of(t) for t in texts]
+        fresh = list(set().union(*(s for both in sets for s in both)) - known.keys())
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
             forms = [spellings(u) for u in some]
@@ -139,10 +179,12 @@ class Model:
             ends = np.cumsum([len(f) for f in forms])
             best = np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]]))
             known.update(zip(some, best.tolist()))
-        out = [max(map(known.__getitem__, s), default=NEUTRAL) for s in sets]
+        most = lambda units, least: max(map(known.__getitem__, units), default=least)
+        own = np.array([most(s, NEUTRAL) for s, _ in sets], np.float64)
+        joined = np.array([most(s, -np.inf) for _, s in sets], np.float64)
         if len(known) > CACHE:
             known.clear()
-        return out
+        return own, joined
 
     def probability(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
@@ -206,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                units = [u for u in units_of(text) if len(u) <= WINDOW]
+                units = [u for u in parts_of(text)[0] if len(u) <= WINDOW]
                 yield pa.RecordBatch.from_pydict({"unit": pa.array(units, pa.string()), "toxic": pa.array([toxic] * len(units), pa.int32())})
 
     units = rows.select("text", F.col("toxic").cast("int")).mapInArrow(split, "unit string, toxic int")
@@ -241,7 +283,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
     seen = rough_margins(rows, rough).collect()
     margins, marks = np.array([r.margin for r in seen]), np.array([r.toxic == 1 for r in seen])
     slope, shift = fit_curve(margins, marks, counts[1] / (counts[0] + counts[1]))
-    return Model(rough.weights, bias, slope, shift)
+    calm = np.array([r.joined for r in seen])[~marks]
+    high = np.quantile(calm, CALM, method="higher") if len(calm) else -np.inf
+    even = -shift / slope if slope > 0 else 0.0
+    return Model(rough.weights, bias, slope, shift, max(0.0, float(high - even)))
 
 
 def unit_margins(units: DataFrame, model: Model) -> DataFrame:
@@ -258,10 +303,10 @@ def rough_margins(rows: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            margins = model.margins(batch.column(0).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([pa.array(margins, pa.float64()), batch.column(1)], ["margin", "toxic"])
+            own, joined = model.margins(batch.column(0).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(joined), batch.column(1)], ["margin", "joined", "toxic"])
 
-    return rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "margin double, toxic int")
+    return rows.select("text", F.col("toxic").cast("int")).mapInArrow(run, "margin double, joined double, toxic int")
 
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
@@ -276,8 +321,8 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                margins = np.array(held.value.margins(part.column(1).to_pylist(), known))
-                scores = held.value.probability(margins)
+                own, joined = held.value.margins(part.column(1).to_pylist(), known)
+                scores = held.value.probability(np.maximum(own, joined - held.value.offset))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
