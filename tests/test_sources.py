@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from treeline.operators import catalog, grading, references
@@ -212,3 +213,19 @@ def test_lookups_print_every_row(spark, capsys):
         F.lit(1).alias("line"), F.lit("function").alias("kind"), F.lit(None).cast("string").alias("signature"))
     assert cli._symbol(Tables(symbols=rows), "f") == 0
     assert len(capsys.readouterr().out.splitlines()) == 100
+
+
+def test_only_missing_and_forbidden_files_are_dropped(tmp_path):
+    class Store:
+        def __init__(self, fault):
+            self.fault = fault
+
+        def open_input_file(self, path):
+            raise self.fault
+
+    (tmp_path / "a").write_bytes(b"x")
+    assert repository.content_of(fs.LocalFileSystem(), str(tmp_path / "a")) == b"x"
+    assert repository.content_of(fs.LocalFileSystem(), str(tmp_path / "gone")) is None
+    assert repository.content_of(Store(PermissionError(13, "forbidden")), "a") is None
+    with pytest.raises(OSError):
+        repository.content_of(Store(OSError("connection lost")), "a")

@@ -100,10 +100,19 @@ def _tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def content_of(store: fs.FileSystem, path: str) -> bytes | None:
+    """The bytes of a file; None if it is gone or forbidden. Other faults fail the task, which is retried."""
+    try:
+        with store.open_input_file(path) as file:
+            return file.read()
+    except (FileNotFoundError, PermissionError):
+        return None
+
+
 def read_files(
     spark: SparkSession, root: str, suffixes: tuple[str, ...] | None = None, prune: bool = True
 ) -> DataFrame:
-    """The files of `listed_files` with their bytes: file, content; unreadable ones are dropped.
+    """The files of `listed_files` with their bytes: file, content; missing or forbidden ones are dropped.
 
     `root` is a folder or a URI of a store that Arrow opens. Names are dealt out to
     tasks before any content is read, however the files lie in directories.
@@ -120,11 +129,10 @@ def read_files(
         for batch in batches:
             names, contents, held = [], [], 0
             for name in batch.column(0).to_pylist():
-                try:
-                    with store.open_input_file(f"{base}/{name}") as file:
-                        contents.append(file.read())
-                except OSError:
+                content = content_of(store, f"{base}/{name}")
+                if content is None:
                     continue
+                contents.append(content)
                 names.append(name)
                 held += len(contents[-1])
                 if held >= most:
