@@ -6,6 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,24 +65,30 @@ def indexes(first: Column | int, last: Column) -> Column:
     return F.when(last >= start, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
 
 
-def attach(big: DataFrame, small: DataFrame, on: str, count: str, spread: list[str]) -> DataFrame:
+def attach(big: DataFrame, small: DataFrame, on: str | list[str], count: str, spread: list[str]) -> DataFrame:
     """Left join of `big` with `small` (one row per key `on`, `count` = its rows in `big`).
 
     The HOT_KEYS most frequent keys come by broadcast and their rows are dealt out by the
     columns `spread`; all others meet in an ordinary shuffle join. The result is the same
     as that of a plain left join; null keys match nothing.
     """
-    values = [c for c in small.columns if c not in (on, count)]
-    hot = small.orderBy(F.desc(count), on).limit(HOT_KEYS)
-    hot = hot.select(F.col(on).alias("_hot"), F.struct(*values).alias("_hot_values"))
-    cold = small.select(F.col(on).alias("_key"), F.lit(0).alias("_deal"), F.struct(*values).alias("_values"))
-    deal = F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1
-    rows = big.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left").withColumn(
-        "_spread", F.when(F.col("_hot").isNotNull() | F.col(on).isNull(), deal).otherwise(0)
+    keys = [on] if isinstance(on, str) else on
+    values = [c for c in small.columns if c not in (*keys, count)]
+    same = lambda prefix: reduce(
+        lambda a, b: a & b, (F.col(k) == F.col(f"{prefix}{i}") for i, k in enumerate(keys))
     )
-    rows = rows.join(
-        cold.hint("merge"), (F.col(on) == F.col("_key")) & (F.col("_spread") == F.col("_deal")), "left"
+    named = lambda prefix: [F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)]
+    hot = small.orderBy(F.desc(count), *keys).limit(HOT_KEYS)
+    hot = hot.select(*named("_hot"), F.struct(*values).alias("_hot_values"))
+    # Always 0, but no literal: the optimizer would fold that and deal rows out by the key alone.
+    cold_deal = F.when(F.col(count) < 0, 1).otherwise(0)
+    cold = small.select(*named("_key"), cold_deal.alias("_deal"), F.struct(*values).alias("_values"))
+    deal = F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("int") + 1
+    unmatched = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    rows = big.join(F.broadcast(hot), same("_hot"), "left").withColumn(
+        "_spread", F.when(F.col("_hot0").isNotNull() | unmatched, deal).otherwise(0)
     )
+    rows = rows.join(cold.hint("merge"), same("_key") & (F.col("_spread") == F.col("_deal")), "left")
     found = F.coalesce("_hot_values", "_values")
     return rows.select(*big.columns, *(found[c].alias(c) for c in values))
 

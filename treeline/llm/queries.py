@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import (
+    collocations,
     decontaminate,
     mixing,
     quality_model,
@@ -95,6 +96,10 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.phrases(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: query for name, query in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()
 }
@@ -203,4 +208,47 @@ SQL: dict[str, str] = {
                     OR 2 * (n_lines - n_dup_lines) < n_lines OR 10 * n_stutter > 3 * n_words) AS kept
         FROM f
     """,
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   unnest(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents
+        ), w AS (
+            SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces
+        ), g AS (
+            SELECT lang, size, words[i:i + size - 1] AS phrase, count(*) AS f
+            FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i
+                  FROM w CROSS JOIN (VALUES (1), (2), (3), (4)) s(size) WHERE len(words) >= size)
+            GROUP BY ALL
+        ), c AS (
+            SELECT * FROM g WHERE size >= 2 AND f >= 30
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, k, one.f AS l, two.f AS r,
+                   2000000::HUGEINT * c.f // (one.f + two.f)::HUGEINT AS score
+            FROM (SELECT lang, phrase, f, size AS width, unnest(range(1, size)) AS k FROM c) c
+            JOIN g one ON one.lang = c.lang AND one.phrase = c.phrase[1:k]
+            JOIN g two ON two.lang = c.lang AND two.phrase = c.phrase[k + 1:c.width]
+        ), best AS (
+            SELECT lang, phrase, a, k, l, r, score FROM cuts
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inner_parts AS (
+            SELECT lang, f, phrase[i:i + part - 1] AS phrase
+            FROM (SELECT lang, phrase, size, f, part, unnest(range(1, size - part + 2)) AS i
+                  FROM c CROSS JOIN (VALUES (2), (3)) s(part) WHERE part < size)
+        ), absorbed AS (
+            SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY ALL
+        ), kept AS (
+            SELECT b.*, array_to_string(b.phrase, ' ') AS spelled
+            FROM best b LEFT JOIN absorbed x USING (lang, phrase)
+            WHERE x.longer IS NULL OR 100::HUGEINT * x.longer < 80::HUGEINT * b.a
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, spelled) AS rank FROM kept
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE size = 1 GROUP BY lang
+        )
+        SELECT lang, rank, spelled AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
