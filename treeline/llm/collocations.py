@@ -449,11 +449,13 @@ def phrases(
         state = written(state, "state")
         done.append(found.join(state.filter("settled").select("lang"), "lang", "left_semi"))
         goals = written(state.filter("not settled").select("lang", (F.col("goal") * 2).alias("goal")), "goals")
-    empty = growth.survivors(docs.sparkSession.createDataFrame([], "lang string, level long"))
-    rows = reduce(DataFrame.unionByName, done, empty)
+    if not done:
+        done.append(growth.survivors(docs.sparkSession.createDataFrame([], "lang string, level long")))
+    rows = reduce(DataFrame.unionByName, done)
     # Only what scores at least like the last wanted one needs its words spelled out.
     first = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"))
     rows = rows.withColumn("at_most", F.rank().over(first)).filter(F.col("at_most") <= wanted).drop("at_most")
+    rows = written(rows, "best-phrases")
     names = words.filter(F.col("f") >= least).select("lang", F.col("hash"), "word")
     listed = rows.select("lang", "n", *WORDS, F.posexplode(F.array(*WORDS)).alias("place", "hash")).filter("place < n")
     spelled = listed.join(names, ["lang", "hash"]).groupBy("lang", *WORDS).agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"))
