@@ -45,12 +45,13 @@ WANTED = 2000
 SHARE = 80
 SCALE = 2_000_000
 FIRST_GOAL = 3000
-CHUNK = 1 << 20
-TEXT_BYTES = 8 << 20
+CHUNK = 1 << 19
+TEXT_BYTES = 4 << 20
+#: Rows of a batch that a task hands on at once.
+ROWS = 1 << 16
 BATCH = 500_000
 #: Words listed to all tasks with their counts; with fewer frequent words, all others are rare.
-LISTED = 1 << 18
-KNOWN_WORDS = 500_000
+LISTED = 1 << 20
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 TRANSLATED = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", LOWER.encode() + b"\n" * len(BREAKS) + b" ")
 
@@ -76,46 +77,38 @@ def word_array(data: list[bytes]) -> pa.DictionaryArray:
     return split.values.dictionary_encode()
 
 
-def chunks(lang: str, data: list[bytes], seed: int, counts: dict) -> Iterator[tuple]:
-    """Rows of at most CHUNK words of their own and three more; counts words by (lang, word)."""
+def chunks(data: list[bytes], seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str], np.ndarray]]:
+    """Of every CHUNK words: their number, hashes of its vocabulary, codes (with three words more),
+    the vocabulary and how often each of it stands among its own words."""
     found = word_array(data)
     words, codes = found.dictionary.to_pylist(), found.indices.to_numpy(zero_copy_only=False)
     number = np.zeros(len(words), np.int64)
-    real = np.array([w not in ("", "\n") for w in words], bool)
-    number[real] = np.arange(1, real.sum() + 1)
+    names = [w for w in words if w not in ("", "\n")]
+    number[np.array([w not in ("", "\n") for w in words], bool)] = np.arange(1, len(names) + 1)
     kept = np.array([w != "" for w in words], bool)
     codes = number[codes[kept[codes]]]
-    names = [w for w in words if w not in ("", "\n")]
     hashes = np.array([xxhash.xxh64_intdigest(w.encode(), seed) for w in names], np.uint64).view(np.int64)
-    for name, h, n in zip(names, hashes.tolist(), np.bincount(codes, minlength=len(names) + 1)[1:].tolist()):
-        known = counts.get((lang, name))
-        counts[lang, name] = (h, n + known[1] if known else n)
     for at in range(0, len(codes), CHUNK):
-        part = codes[at : at + CHUNK + LONGEST - 1]
-        used, local = np.unique(np.concatenate([[0], part]), return_inverse=True)
-        yield lang, min(CHUNK, len(codes) - at), hashes[used[1:] - 1], local[1:].astype(np.int32)
+        own = min(CHUNK, len(codes) - at)
+        used, local = np.unique(np.concatenate([[0], codes[at : at + CHUNK + LONGEST - 1]]), return_inverse=True)
+        counts = np.bincount(local[1 : own + 1], minlength=len(used))[1:]
+        yield own, hashes[used[1:] - 1], local[1:].astype(np.int32), [names[i - 1] for i in used[1:].tolist()], counts
 
 
 def word_parts(docs: DataFrame, seed: int) -> DataFrame:
-    """The texts as chunks of word numbers, and partial word counts, in one written table."""
+    """The texts as chunks of word numbers, and the word counts of each chunk, in one written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], tuple[int, int]] = {}
-
-        def counted() -> pa.RecordBatch:
-            langs, names = zip(*counts)
-            hashes, seen = zip(*counts.values())
-            empty = [None] * len(langs)
-            columns = [langs, empty, empty, empty, names, hashes, seen]
-            counts.clear()
+        def batch_of(*columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_PARTS)], schema=ARROW_PARTS)
 
         def made(lang: str, data: list[bytes]) -> Iterator[pa.RecordBatch]:
-            for row in chunks(lang, data, seed, counts):
-                columns = [*([v] for v in row), [None], [None], [None]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW_PARTS)], schema=ARROW_PARTS)
-                if len(counts) > KNOWN_WORDS:
-                    yield counted()
+            for own, hashes, codes, names, counts in chunks(data, seed):
+                yield batch_of([lang], [own], [hashes], [codes], [None], [None], [None])
+                for at in range(0, len(names), ROWS):
+                    part = slice(at, at + ROWS)
+                    n = len(names[part])
+                    yield batch_of([lang] * n, *([[None] * n] * 3), names[part], hashes[part], counts[part])
 
         held: dict[str, list[bytes]] = {}
         weight: dict[str, int] = {}
@@ -129,8 +122,6 @@ def word_parts(docs: DataFrame, seed: int) -> DataFrame:
                     weight[lang] = 0
         for lang, data in held.items():
             yield from made(lang, data)
-        if counts:
-            yield counted()
 
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), "text")
     rows = rows.filter(F.col("text").isNotNull() & (F.col("text") != ""))
@@ -178,11 +169,10 @@ def pair_counts(texts: DataFrame, words: DataFrame, least: int) -> DataFrame:
                 first, second = codes[:-1][:own], codes[1 : own + 1]
                 both = able[first] & able[second]
                 keys, n = tallied(first[both] * (len(vocab) + 1) + second[both])
-                w1, w2 = np.divmod(keys, len(vocab) + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(keys), pa.string()), pa.array(vocab[w1 - 1]), pa.array(vocab[w2 - 1]), pa.array(n, pa.int64())],
-                    ["lang", "w1", "w2", "n"],
-                )
+                for at in range(0, len(keys), ROWS):
+                    w1, w2 = np.divmod(keys[at : at + ROWS], len(vocab) + 1)
+                    columns = [[lang] * len(w1), vocab[w1 - 1], vocab[w2 - 1], n[at : at + ROWS]]
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["lang", "w1", "w2", "n"])
 
     found = texts.mapInArrow(run, "lang string, w1 long, w2 long, n long")
     return found.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)

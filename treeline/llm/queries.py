@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from treeline.llm import (
     collocations,
     decontaminate,
+    htmltext,
     mixing,
     quality_model,
     quality_rules,
@@ -20,6 +21,7 @@ from treeline.llm import (
     toxicity,
     urlfilter,
     warc,
+    whitening,
 )
 
 
@@ -96,6 +98,15 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.taken_words(table(spark, folder, "documents"))
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages"))
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.phrases(table(spark, folder, "documents"))
 
