@@ -17,7 +17,8 @@ Joined units, of which a text has many by chance, count less by an offset that k
 sampled clean documents below even odds.
 
 Bounds of the training sample (the only rows that are sampled): SAMPLE documents of each label,
-MARKERS toxic, PLAIN other units and HARD more of these a round. Every text is scored whole.
+MARKERS toxic, PLAIN other units and HARD more of these a round. Training takes units of at
+most WINDOW characters only. Every text is scored whole: longer units in overlapping windows.
 
 Defined results
 * Null, empty and wordless texts score like a text whose only unit is neutral.
@@ -45,7 +46,7 @@ SAMPLE = 4000
 MARKERS, PLAIN = 400, 6000
 LEAST_DOCS, LEAST_Z, LEAST_RATIO = 3, 6.0, 10.0
 HARD, ROUNDS = 3000, 3
-CLASSES = 32
+CLASSES = 40
 SPAN, DECAY = 6, 0.6
 STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 WINDOW, STRIDE = 48, 28
@@ -107,7 +108,7 @@ def spellings(unit: str) -> list[str]:
 
 
 def coded(strings: list[str]) -> np.ndarray:
-    """Rows of classes: letters 0-25, other letters and digits 26-28, gaps -1, end marks 30 and 31."""
+    """Rows of classes: letters from 0, other letters and digits from 26, gaps -1, the end marks last."""
     width = max(map(len, strings), default=0) + 2
     out = np.full((len(strings), width + SPAN), -1, np.int32)
     points = np.array([list(s.ljust(width)) for s in strings]).view(np.uint32).reshape(len(strings), -1) if width else None
@@ -118,10 +119,10 @@ def coded(strings: list[str]) -> np.ndarray:
     inside = np.arange(width)[None, :] < lengths[:, None]
     letter = (points >= 97) & (points <= 122)
     other = (points >= 128) | ((points >= 48) & (points <= 57))
-    classes = np.where(letter, points - 97, np.where(other, 26 + points % 3, -1))
+    classes = np.where(letter, points - 97, np.where(other, 26 + points % (CLASSES - 28), -1))
     out[:, 1 : width + 1] = np.where(inside, classes, -1)
-    out[:, 0] = 30
-    out[np.arange(len(strings)), lengths + 1] = 31
+    out[:, 0] = CLASSES - 2
+    out[np.arange(len(strings)), lengths + 1] = CLASSES - 1
     return out
 
 
@@ -139,6 +140,14 @@ def scale_of(codes: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1.0))
 
 
+def raw_sums(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The weights of all features of each unit, not yet divided by its scale."""
+    total = np.zeros(len(codes))
+    for index, ok, weight in occurrences(codes):
+        total += weight * np.where(ok, weights[np.where(ok, index, 0)], 0.0).sum(axis=1, dtype=np.float64)
+    return total
+
+
 def features(codes: np.ndarray) -> np.ndarray:
     """The explicit features of a few units (dense; for training only)."""
     out = np.zeros((len(codes), CLASSES**3), np.float32)
@@ -162,10 +171,7 @@ class Model:
         for at in range(0, len(order), 4096):
             part = order[at : at + 4096]
             codes = coded([strings[i] for i in part])
-            total = np.zeros(len(part))
-            for index, ok, weight in occurrences(codes):
-                total += weight * np.where(ok, self.weights[np.where(ok, index, 0)], 0.0).sum(axis=1)
-            out[part] = total / scale_of(codes) + self.bias
+            out[part] = raw_sums(codes, self.weights) / scale_of(codes) + self.bias
         return out
 
     def margins(self, texts: list[str | None], known: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +196,195 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.shift, -50, 50)))
 
 
+def text_maxima(values: np.ndarray, texts: np.ndarray, out: np.ndarray) -> None:
+    """Raise each text's entry of `out` to the largest of its values; `texts` is sorted."""
+    if len(values):
+        first = np.flatnonzero(np.concatenate([[True], texts[1:] != texts[:-1]]))
+        out[texts[first]] = np.maximum(out[texts[first]], np.maximum.reduceat(values, first))
+
+
+class Scorer:
+    """Margins of whole texts, a batch at a time, in arrays of piece numbers.
+
+    A joined unit of two pieces is never spelled out: its features are those inside the first
+    piece with the mark before it, those inside the second with the mark after it (both known for
+    each piece), and those across the border, which the five places on either side decide. Windows
+    of runs of short pieces take running sums over the run and the features of the two marks.
+    """
+
+    SIDE = SPAN - 1
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        # One class more, of weight 0, stands for places outside.
+        size = CLASSES + 1
+        self.weights = np.zeros((size, size, size))
+        self.weights[:CLASSES, :CLASSES, :CLASSES] = model.weights.reshape(CLASSES, CLASSES, CLASSES)
+        self.flat = self.weights.ravel()
+        lengths = np.arange(2 * JOINED + 3)
+        squares = sum(DECAY ** (2 * (k - 2)) * np.maximum(0, lengths - k) for _, k in STEPS)
+        self.scales = np.sqrt(np.maximum(squares, 1.0))
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.cores: list[str] = []
+        self.own, self.before, self.after = np.zeros(0), np.zeros(0), np.zeros(0)
+        self.sizes = np.zeros(0, np.int64)
+        self.heads, self.tails = (np.zeros((0, self.SIDE), np.int64) for _ in range(2))
+
+    def best_forms(self, units: list[str]) -> np.ndarray:
+        """The margin of each unit's best spelling."""
+        forms = [spellings(u) for u in units]
+        scores = self.model.units([s for f in forms for s in f])
+        ends = np.cumsum([len(f) for f in forms])
+        return np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]]))
+
+    def add(self, pieces: list[str]) -> None:
+        cores = [p if p.isascii() and p.isalpha() else bare(p) for p in pieces]
+        sizes = np.fromiter(map(len, cores), np.int64, len(cores))
+        before, after = np.zeros(len(cores)), np.zeros(len(cores))
+        heads, tails = (np.full((len(cores), self.SIDE), CLASSES, np.int64) for _ in range(2))
+        # Longer pieces are never joined.
+        short = np.flatnonzero((sizes > 0) & (sizes < JOINED))
+        if len(short):
+            codes = coded([cores[i] for i in short])
+            n, width = sizes[short], codes.shape[1]
+            place = np.arange(width)[None, :]
+            before[short] = raw_sums(np.where(place <= n[:, None], codes, -1), self.model.weights)
+            after[short] = raw_sums(np.where(place >= 1, codes, -1), self.model.weights)
+            padded = np.where(codes >= 0, codes, CLASSES)
+            for back in range(self.SIDE):
+                # Up to and with the mark before the piece; from the piece's first place to the mark after it.
+                at = n - back
+                tails[short, self.SIDE - 1 - back] = np.where(at >= 0, padded[np.arange(len(short)), np.maximum(at, 0)], CLASSES)
+                at = np.minimum(1 + back, width - 1)
+                heads[short, back] = np.where(1 + back <= n + 1, padded[:, at], CLASSES)
+        first = len(self.cores)
+        self.numbers.update(zip(pieces, range(first, first + len(pieces))))
+        self.cores += cores
+        self.own = np.concatenate([self.own, self.best_forms(pieces)])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.before, self.after = np.concatenate([self.before, before]), np.concatenate([self.after, after])
+        self.heads, self.tails = np.concatenate([self.heads, heads]), np.concatenate([self.tails, tails])
+
+    def weight(self, a, b, c) -> np.ndarray:
+        size = CLASSES + 1
+        return self.flat[(a * size + b) * size + c]
+
+    def pair_margins(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        codes = np.concatenate([self.tails[one], self.heads[two]], axis=1).T.copy()
+        total = self.before[one] + self.after[two]
+        for j, k in STEPS:
+            for i in range(self.SIDE - k, self.SIDE):
+                total += DECAY ** (k - 2) * self.weight(codes[i], codes[i + j], codes[i + k])
+        return total / self.scales[self.sizes[one] + self.sizes[two] + 2] + self.model.bias
+
+    def window_margins(self, letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Margins of the windows [start, end) of `letters`, in which SPAN outside places part the runs."""
+        total, length = np.zeros(len(start)), end - start
+        first, last = CLASSES - 2, CLASSES - 1
+        padded = np.concatenate([letters, np.full(SPAN, CLASSES)])
+        for k in range(2, SPAN):
+            weight = DECAY ** (k - 2)
+            here = np.arange(len(letters))
+            inner = sum(self.weight(padded[here], padded[here + j], padded[here + k]) for j in range(1, k))
+            sums = np.concatenate([[0.0], np.cumsum(inner)])
+            total += weight * np.where(end - k > start, sums[np.maximum(end - k, 0)] - sums[start], 0.0)
+            for j in range(1, k):
+                opening = self.weight(first, padded[np.maximum(start - 1 + j, 0)], padded[start - 1 + k])
+                closing = self.weight(padded[np.maximum(end - k, 0)], padded[np.maximum(end - k + j, 0)], last)
+                both = self.weight(first, padded[np.maximum(start - 1 + j, 0)], last)
+                total += weight * (np.where(k <= length, opening + closing, 0.0) + np.where(k == length + 1, both, 0.0))
+        return total / self.scales[length + 2] + self.model.bias
+
+    def margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The margins of the most toxic own and joined unit of each text."""
+        pieces, counts = [], []
+        for text in texts:
+            some = (text or "").lower().split()
+            pieces += some
+            counts.append(len(some))
+        if len(self.cores) > CACHE:
+            self.clear()
+        if fresh := list(set(pieces) - self.numbers.keys()):
+            for at in range(0, len(fresh), 50_000):
+                self.add(fresh[at : at + 50_000])
+        which = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        text = np.repeat(np.arange(len(texts)), counts)
+        own, joined = np.full(len(texts), -np.inf), np.full(len(texts), -np.inf)
+        text_maxima(self.own[which], text, own)
+        own[np.array(counts) == 0] = NEUTRAL
+        kept = self.sizes[which] > 0
+        which, text = which[kept], text[kept]
+        sizes = self.sizes[which]
+        if len(which) > 1:
+            near = (text[1:] == text[:-1]) & (sizes[1:] + sizes[:-1] <= JOINED)
+            keys, place = np.unique(which[:-1][near] * len(self.cores) + which[1:][near], return_inverse=True)
+            found = np.concatenate([self.pair_margins(*np.divmod(keys[a : a + 50_000], len(self.cores))) for a in range(0, len(keys), 50_000)] or [np.zeros(0)])
+            text_maxima(found[place], text[:-1][near], joined)
+        self.single_runs(which, text, sizes, own)
+        self.short_runs(which, text, sizes, joined)
+        return own, joined
+
+    @staticmethod
+    def runs(able: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last + 1 place of the runs of at least three able pieces of one text."""
+        if not len(able):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cut = np.concatenate([[True], (able[1:] != able[:-1]) | (text[1:] != text[:-1])])
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(able))
+        chosen = able[first] & (last - first > 2)
+        return first[chosen], last[chosen]
+
+    def spelled(self, which: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, out: np.ndarray) -> None:
+        """Whole runs as units."""
+        units: dict[str, int] = {}
+        runs = [units.setdefault("".join([self.cores[i] for i in which[a:b].tolist()]), len(units)) for a, b in zip(first.tolist(), last.tolist())]
+        if runs:
+            text_maxima(self.best_forms(list(units))[runs], text[first], out)
+
+    def single_runs(self, which: np.ndarray, text: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> None:
+        first, last = self.runs(sizes == 1, text)
+        self.spelled(which, text, first, last, own)
+
+    def short_runs(self, which: np.ndarray, text: np.ndarray, sizes: np.ndarray, joined: np.ndarray) -> None:
+        first, last = self.runs(sizes <= SHORT, text)
+        if not len(first):
+            return
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        # Runs of up to JOINED letters are among the windows.
+        long = total[last] - total[first] > JOINED
+        self.spelled(which, text, first[long], last[long], joined)
+        pieces = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist())])
+        run = np.repeat(np.arange(len(first)), last - first)
+        size, ends = sizes[pieces], np.cumsum(sizes[pieces])
+        # Places of letters, with SPAN outside places after each run.
+        start = ends - size + SPAN * run
+        letters = np.full(int(ends[-1]) + SPAN * len(first), CLASSES, np.int64)
+        codes = self.heads[which[pieces]]
+        for i in range(SHORT):
+            here = size > i
+            letters[start[here] + i] = codes[here, i]
+        begins, stops, texts = [], [], []
+        for more in range(2, JOINED):
+            if more >= len(pieces):
+                break
+            stop = start[more:] + size[more:]
+            fits = (run[more:] == run[:-more]) & (stop - start[:-more] <= JOINED)
+            if not fits.any():
+                break
+            begins.append(start[:-more][fits])
+            stops.append(stop[fits])
+            texts.append(text[pieces[:-more]][fits])
+        if begins:
+            texts = np.concatenate(texts)
+            order = np.argsort(texts, kind="stable")
+            found = self.window_margins(letters, np.concatenate(begins), np.concatenate(stops))
+            text_maxima(found[order], texts[order], joined)
+
+
 def fit_machine(texts: list[str], labels: np.ndarray, landmarks: list[str], cost: float = 10.0) -> tuple[np.ndarray, float]:
     """Weights over the explicit features, and bias, of the machine in the Nystroem space."""
     marks = features(coded(landmarks))
@@ -197,7 +392,7 @@ def fit_machine(texts: list[str], labels: np.ndarray, landmarks: list[str], cost
     values, vectors = np.linalg.eigh(gram.astype(np.float64))
     kept = values > 1e-6 * values.max()
     root = vectors[:, kept] / np.sqrt(values[kept])
-    parts = [features(coded(texts[a : a + 500])) @ marks.T for a in range(0, len(texts), 500)]
+    parts = [features(coded(texts[a : a + 250])) @ marks.T for a in range(0, len(texts), 250)]
     z = np.column_stack([np.concatenate(parts) @ root, np.ones(len(texts))])
     weight = np.where(labels > 0, np.sqrt(len(labels) / max(1, (labels > 0).sum())), 1.0)
     w = np.zeros(z.shape[1])
@@ -317,11 +512,11 @@ def score(docs: DataFrame, model: Model | float) -> DataFrame:
     key = f"toxicity-{held._jbroadcast.id()}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = process_store(key)
+        scorer = process_store(key).setdefault("scorer", Scorer(held.value))
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own, joined = held.value.margins(part.column(1).to_pylist(), known)
+                own, joined = scorer.margins(part.column(1).to_pylist())
                 scores = held.value.probability(np.maximum(own, joined - held.value.offset))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
