@@ -71,3 +71,35 @@ def test_empty_tables(spark):
     assert not decontaminate.scan(spark.createDataFrame(docs, KINDS), none).filter("contaminated").count()
     empty = spark.createDataFrame([], KINDS)
     assert decontaminate.scan(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_letters_whose_lower_case_depends_on_their_neighbours(spark):
+    tail = " b c d e f g h i j k l"
+    texts = ["ΟΔΟΣ.ΑΒΓ" + tail, "οδος ΑΣ ασ Σ σΣς" + tail, "İSTANBUL ǅ ẞ Kelvin" + tail, "ΑΣ ΒΣ. ΓΣ,ΔΣ ΕΣ ΖΣ ΗΣ ΘΣ ΙΣ ΚΣ"]
+    items = list(enumerate(texts)) + [(9, "ΟΔΟς.ΑΒΓ" + tail)]
+    docs = [(i, t, "") for i, t in enumerate(texts + [t + " und mehr" for t in texts])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for r in decontaminate.scan(spark.createDataFrame(docs, KINDS), benchmark).collect():
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute(r.text, items)
+
+
+def test_columns_with_clashing_names(spark):
+    kinds = "doc_id long, text string, `key` string, items int, row string, row_key int, n_hit string, low string"
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "k", 2, "r", 3, "old", "l"), (2, "else", "k", 2, "r", 3, "old", "l")], kinds)
+    benchmark = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.scan(docs, benchmark).collect()}
+    assert (got[1].n_hit, got[2].n_hit) == (10, 0) and got[1]["items"] == 2 and got[1].key == "k" and got[1].row_key == 3
+    kept = decontaminate.without_documents(docs, benchmark).collect()
+    assert [tuple(r) for r in kept] == [(2, "else", "k", 2, "r", 3, "old", "l")]
+    cleaned = {r.doc_id: r for r in decontaminate.without_spans(docs, benchmark).collect()}
+    assert cleaned[1].text.split() == [] and cleaned[2].text == "else" and cleaned[1]["items"] == 2
+
+
+def test_keys_of_the_contaminated_are_broadcast_only_within_the_bound(spark, monkeypatch):
+    docs, items = fixture()
+    table, benchmark = spark.createDataFrame(docs, KINDS), spark.createDataFrame(items, "item_id long, text string")
+    for size, wanted in ((128, True), (decontaminate.BOUND, False)):
+        monkeypatch.setattr(decontaminate, "KEY_BYTES", size)
+        plan = decontaminate.without_documents(table, benchmark)._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == wanted

@@ -10,7 +10,8 @@ Defined results
   item text: no word, no window.
 * Null item_id: its windows hit, but it isn't listed. Items of one id count once.
 * Rows of one doc_id and text get the same result; every row stays one row.
-* Empty documents or benchmark: no hit. Extra columns stay; those named like results are replaced.
+* Empty documents or benchmark: no hit. Extra columns stay, whatever their names; those named like
+  results are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from treeline.llm.common import bind, indexes, lower_ascii, written
 
 WIDTH = 10
 BOUND = 32 << 20
+#: What a broadcast key of a row takes in memory, at most.
+KEY_BYTES = 128
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_OF_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans")
@@ -38,6 +41,11 @@ def window_hashes(words: Column, width: Column | int) -> Column:
     return F.transform(indexes(1, F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
 
 
+def folded(text: Column) -> Column:
+    """Full lower case, with one small sigma: which of the two `lower` takes depends on what follows."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def lowered(words: Column) -> Column:
     """The words with A-Z, and nothing else, in lower case: what is compared in the end."""
     return F.transform(words, lower_ascii)
@@ -51,7 +59,7 @@ def benchmark_grams(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = rows.select("item", "width", "words", starts.alias("at"))
     cut = F.slice("words", F.col("at"), F.col("width"))
     rows = rows.select("item", "width", lowered(cut).alias("gram"))
-    hashed = F.xxhash64(F.transform("gram", lambda w: F.lower(w))).alias("hash")
+    hashed = F.xxhash64(F.transform("gram", folded)).alias("hash")
     return rows.select("*", hashed).groupBy("hash", "gram", "width").agg(F.collect_set("item").alias("items"))
 
 
@@ -68,7 +76,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bo
     facts = grams.agg(F.sum(weight).alias("bytes"), F.collect_set("width").alias("widths")).first()
     rounds = -(-(facts["bytes"] or 0) // bound)
     text = F.coalesce("text", F.lit(""))
-    low = F.filter(F.split(F.lower(text), NO_WORD), lambda w: w != "")
+    low = F.filter(F.split(folded(text), NO_WORD), lambda w: w != "")
     widths = sorted(facts["widths"], reverse=True)
     rows = docs.select(row_key().alias("key"), text.alias("text"), low.alias("low"))
     found = None
@@ -113,23 +121,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bound: int =
     hits = benchmark_hits(docs, benchmark, width, bound)
     items = F.sort_array(F.array_distinct(F.flatten("item_lists")))
     hits = hits.select("key", "hit_spans", covered(F.col("hit_spans")).alias("n_hit"), items.alias("items"))
-    rows = docs.drop(*RESULTS).withColumns({"_key": row_key(), "n_words": F.size(words_of(F.col("text"))).cast("long")})
-    rows = rows.join(hits, F.col("_key") == F.col("key"), "left").drop("_key", "key")
+    # The documents' own columns stay in a struct, whatever their names, until all others are gone.
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in RESULTS)).alias("row")
+    rows = docs.select(row, row_key().alias("row_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = rows.join(hits, F.col("row_key") == F.col("key"), "left")
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.withColumns(
-        {
-            "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")),
-            "n_items": F.size(names).cast("long"),
-            "items_sha256": F.sha2(F.array_join(names, ",").cast("binary"), 256),
-            "contaminated": F.coalesce(F.col("n_hit") > 0, F.lit(False)),
-        }
-    ).drop("items")
+    return rows.select(
+        "row.*",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        "hit_spans",
+    )
 
 
 def without_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bound: int = BOUND) -> DataFrame:
     """The documents that hold no benchmark window."""
-    hits = benchmark_hits(docs, benchmark, width, bound).select(F.col("key").alias("_key"))
-    return docs.withColumn("_row", row_key()).join(hits, F.col("_row") == F.col("_key"), "left_anti").drop("_row")
+    hits = written(benchmark_hits(docs, benchmark, width, bound).select("key"), "contaminated")
+    # Few texts hold benchmark passages; their keys are counted before they may be broadcast.
+    if hits.count() * KEY_BYTES <= bound:
+        hits = F.broadcast(hits)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_key().alias("row_key"))
+    return rows.join(hits, F.col("row_key") == F.col("key"), "left_anti").select("row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bound: int = BOUND) -> DataFrame:
