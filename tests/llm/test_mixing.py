@@ -54,6 +54,79 @@ def test_shards_share_out_the_totals():
     assert (seen == totals).all()
 
 
+def test_halves_are_drawn_alike_at_every_size():
+    rng = np.random.default_rng(8)
+    for scale in (1, 1000, 10**9, 10**11, 10**15):
+        counts = np.array([5, 0, 3, 90, 1]) * scale
+        size = int(counts.sum())
+        for n in (0, 1, size // 3, size - 1, size):
+            left = mixing.halved(counts, n, rng)
+            assert int(left.sum()) == n and (left >= 0).all() and (left <= counts).all()
+            if scale >= 1000 and n == size // 3:
+                assert np.allclose(left, counts / 3, atol=8 * np.sqrt(size))
+    left = [int(mixing.halved(np.array([10**6, 10**6]), 10**6, rng)[0]) for _ in range(300)]
+    assert 150 < np.std(left) < 600 and abs(np.mean(left) - 500_000) < 150
+
+
+def test_shards_of_a_hundred_billion_slots():
+    totals = np.array([6 * 10**10, 5 * 10**9, 35 * 10**9])
+    shards = -(-int(totals.sum()) // mixing.SHARD)
+    for shard in (0, shards // 2, shards - 1):
+        counts, before = mixing.shard_counts(totals, shards, shard)
+        assert counts.sum() == min(mixing.SHARD, int(totals.sum()) - shard * mixing.SHARD)
+        assert before.sum() == shard * mixing.SHARD and (before + counts <= totals).all()
+
+
+def plain_taken(spark, docs):
+    """Words taken of every document by a plain run of all draws over the ledger."""
+    placed, _ = mixing.mix(docs)
+    rows = sorted(placed.collect(), key=lambda r: (r.source_no, r.first, r["size"]))
+    sources = {r.source_no: (r.source_size, r.target) for r in rows}
+    taken = dict.fromkeys(((r.source_no, r.bucket, r["rank"]) for r in rows), 0)
+    for number, (size, target) in sources.items():
+        words = min(round(target), 2 * size)
+        slots, last = mixing.slots_of(size, words, number)
+        blocks = -(-size // mixing.BLOCK)
+        for nth in range(slots):
+            block = int(mixing.Permutation(blocks, number, nth // blocks)(np.array([nth % blocks]))[0])
+            start, end = block * mixing.BLOCK, block * mixing.BLOCK + (last if last and nth == slots - 1 else mixing.BLOCK)
+            for r in rows:
+                if r.source_no == number:
+                    taken[number, r.bucket, r["rank"]] += max(0, min(end, r.first + r["size"]) - max(start, r.first))
+    return sorted((r.doc_id is None, r.doc_id or 0, taken[r.source_no, r.bucket, r["rank"]]) for r in rows)
+
+
+def test_taken_words_against_a_plain_run_of_the_draws(spark):
+    docs = spark.createDataFrame(rows_of(random.Random(5))[300:], "doc_id long, text string, source string, size string")
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.taken) for r in mixing.taken_words(docs).collect())
+    assert got == plain_taken(spark, docs)
+
+
+def test_packed_blocks_hold_the_mix_in_its_order(spark):
+    rows = rows_of(random.Random(6))
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string")
+    blocks = mixing.packed_blocks(docs).collect()
+    assert len({(b.shard, b.place) for b in blocks}) == len(blocks)
+    assert all(b.n_words == len(b.text.split()) <= mixing.BLOCK for b in blocks)
+    counts, taken = {}, {}
+    for b in blocks:
+        for word in b.text.split():
+            counts[word] = counts.get(word, 0) + 1
+    for r in mixing.mixed_documents(docs).collect():
+        for word in r.text.split():
+            taken[word] = taken.get(word, 0) + 1
+    assert counts == taken
+    for shard in {b.shard for b in blocks}:
+        assert sorted(b.place for b in blocks if b.shard == shard) == list(range(sum(b.shard == shard for b in blocks)))
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(i, f"a b c d{i}", "s", "own", i, "x") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id string, spans int, `row` string")
+    mixed = mixing.mixed_documents(docs).collect()
+    assert mixed and mixed[0].__fields__ == docs.columns and all(r["_id"] == "own" and r.spans == r.doc_id for r in mixed)
+
+
 def rows_of(rng):
     sources = ["b", "a", None, "é", "Z", "tiny"]
     rows = []

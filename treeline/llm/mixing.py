@@ -3,9 +3,10 @@
 Each source is a line of words: its documents in a fixed order, cut into blocks of BLOCK words.
 Each source gets as many slots as its target needs. The slots are dealt to output shards of
 SHARD slots by multinomial draws that are conditional on these totals: the shards are the leaves
-of a binary tree, and each node splits its sources' counts between its halves with draws from a
-multivariate hypergeometric law, seeded by the node. So each shard finds its counts, and how many
-slots its sources had before it, alone. A source's n-th slot is mapped to a block by a
+of a binary tree, and each node splits its sources' counts between its halves with a binomial draw
+for each source, seeded by the node; what the draws miss of a half's size is spread over the
+sources in proportion to what they have. So each shard finds its counts, and how many slots its
+sources had before it, alone, in the same way at every size. A source's n-th slot is mapped to a block by a
 pseudorandom permutation of the source's blocks, one permutation for each pass over the source,
 and slots meet blocks in a join on (source, block). The last slot of a source is cut to the words
 that its target still lacks.
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +40,9 @@ SHARE = 1.5
 MOST = 2.0
 BLOCK = 128
 SHARD = 1024
-BUCKETS = 1024
+#: Parts that a source is cut into for its order; more if a part would get over BUCKET_ROWS rows.
+BUCKETS, BUCKET_ROWS = 1024, 100_000
 SEED = 17
-EXACT_NODE = 200_000_000
 SLOT = "shard long, place int, source_no int, pass int, block long, words int"
 
 
@@ -71,9 +72,10 @@ def ledger(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     size = F.size(F.filter(F.split(text, WHITESPACE), lambda w: w != "")).cast("long")
+    buckets = max(BUCKETS, 1 << (docs.count() // BUCKET_ROWS).bit_length())
     rows = docs.select(
         "doc_id", "source", size.alias("size"), F.xxhash64(text).alias("text_hash")
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BUCKETS)).cast("int"))
+    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)).cast("int"))
     rows = rows.withColumn("has_source", F.col("source").isNotNull()).withColumn("source", F.coalesce("source", F.lit("")))
     keys = ["has_source", "source", "bucket"]
     inside = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("doc_id"), "text_hash")
@@ -139,6 +141,23 @@ def slots_of(size: int, words: int, source: int) -> tuple[int, int]:
     return passes * blocks + slots, rest - (slots - 1) * BLOCK
 
 
+def halved(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of each source's slots fall to a half of `n` slots: binomial draws, corrected to n."""
+    size = int(counts.sum())
+    left = rng.binomial(counts, n / size if size else 0.0)
+    lack = n - int(left.sum())
+    # Sources give or take of what they have left, in proportion; products may pass 64 bits.
+    room = [int(v) for v in (counts - left if lack > 0 else left)]
+    total, lack, sign = sum(room), abs(lack), 1 if lack > 0 else -1
+    if lack:
+        share = [v * lack // total for v in room]
+        rest = lack - sum(share)
+        for i in sorted(range(len(room)), key=lambda i: (-(room[i] * lack % total), i))[:rest]:
+            share[i] += 1
+        left = left + sign * np.array(share, np.int64)
+    return left
+
+
 def shard_counts(totals: np.ndarray, shards: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each source in the shard, and in all shards before it."""
     all_slots = int(totals.sum())
@@ -146,14 +165,7 @@ def shard_counts(totals: np.ndarray, shards: int, shard: int) -> tuple[np.ndarra
     while high - low > 1:
         middle = (low + high) // 2
         n = min(all_slots, middle * SHARD) - min(all_slots, low * SHARD)
-        size = int(counts.sum())
-        rng = np.random.default_rng([SEED, low, high])
-        if size <= EXACT_NODE:
-            left = rng.multivariate_hypergeometric(counts, n, method="marginals")
-        else:  # So many slots vary by less than rounding: split in proportion.
-            left = counts * n // size
-            for i in np.argsort(-(counts * n % size), kind="stable")[: n - int(left.sum())]:
-                left[i] += 1
+        left = halved(counts, n, np.random.default_rng([SEED, low, high]))
         if shard < middle:
             high, counts = middle, left
         else:
@@ -202,7 +214,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = ledger(docs)
     keys = ["has_source", "source"]
     buckets = rows.groupBy(*keys, "bucket").agg(F.sum("size").alias("bucket_size"))
-    # One row for each bucket of a source meets here, BUCKETS at most.
+    # One row for each bucket of a source meets here.
     order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("bucket_first", F.coalesce(F.sum("bucket_size").over(order), F.lit(0)))
     sources = rows.groupBy(*keys).agg(F.sum("size").alias("size")).collect()
@@ -215,7 +227,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         listed, "has_source boolean, source string, source_no int, source_size long, target double"
     )
     buckets = buckets.join(F.broadcast(names), keys).drop("bucket_size")
-    # All columns of a bucket: (source, bucket) pairs are 1,024 a source at most.
+    # One row for each bucket of a source.
     placed = rows.join(buckets, [*keys, "bucket"]).withColumn("first", F.col("bucket_first") + F.col("in_bucket"))
     placed = written(placed.drop("in_bucket", "bucket_first"), "placed")
     taken = slots(spark, [p[0] for p in plan], [-(-n // BLOCK) for n in sizes], [p[1] for p in plan])
@@ -278,25 +290,71 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     placed, spans = mix(docs)
     own = spans.groupBy(*DOCUMENT, "pass").agg(F.sort_array(F.collect_set(F.struct("from", "to"))).alias("_spans"))
     named = own.join(placed.select(*DOCUMENT, "doc_id", "source", "has_source", "text_hash"), DOCUMENT)
+    return texts_of(docs, named, "_spans", cut_words("text", "spans"))
+
+
+def texts_of(docs: DataFrame, named: DataFrame, spans: str, text: Column) -> DataFrame:
+    """The documents' columns for each row of `named`, with `text` made of their text and the spans."""
     named = named.select(
-        F.col("doc_id").alias("_id"),
-        F.col("text_hash").alias("_hash"),
-        F.when(F.col("has_source"), F.col("source")).alias("_source"),
-        "_spans",
+        "doc_id",
+        "text_hash",
+        F.when(F.col("has_source"), F.col("source")).alias("source"),
+        F.col(spans).alias("spans"),
         # Equal rows are told apart by their order, so each gets the spans of one.
-        F.dense_rank().over(Window.partitionBy("doc_id", "text_hash", "has_source", "source").orderBy("rank")).alias("_nth"),
-    )
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("_text_hash", hashed).withColumn(
-        "_row", F.row_number().over(Window.partitionBy("doc_id", "_text_hash", "source").orderBy("doc_id"))
+        F.dense_rank().over(Window.partitionBy("doc_id", "text_hash", "has_source", "source").orderBy("rank")).alias("nth"),
     )
+    # The documents' columns stay in a struct, whatever their names.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = rows.withColumn("row_hash", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    nth = Window.partitionBy("row.doc_id", "row_hash", "row.source").orderBy("row.doc_id")
+    rows = rows.withColumn("row_nth", F.row_number().over(nth))
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id"))
-        & (F.col("_text_hash") == F.col("_hash"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_row") == F.col("_nth"))
+        F.col("row.doc_id").eqNullSafe(F.col("doc_id"))
+        & (F.col("row_hash") == F.col("text_hash"))
+        & F.col("row.source").eqNullSafe(F.col("source"))
+        & (F.col("row_nth") == F.col("nth"))
     )
-    out = rows.join(named, same).withColumn("text", cut_words("text", "_spans"))
+    met = rows.join(named, same).select("row", F.col("row.text").alias("text"), "spans")
+    met = met.select("row", text.alias("mixed"))
+    changed = {"text": F.col("mixed")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.length("mixed").cast(docs.schema["n_chars"].dataType)
+    return met.select(*(changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def cut_pieces(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """The words of each span of a text, joined by single spaces."""
+
+    def cut(text: str, own) -> list[str]:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        return [" ".join(words[s["from"] : s["to"]]) for s in own]
+
+    return pd.Series([cut(t, s) for t, s in zip(texts, spans)])
+
+
+def packed_blocks(docs: DataFrame) -> DataFrame:
+    """The mix itself, a row for each slot: shard, place, source, pass, block, n_words and text.
+
+    A slot holds BLOCK words (the last of a source maybe fewer), of the documents that its block
+    of the source runs through, in order.
+    """
+    placed, spans = mix(docs)
+    slot = ["shard", "place", "pass", "block"]
+    own = spans.groupBy(*DOCUMENT).agg(F.collect_list(F.struct(*slot, "from", "to")).alias("spans"))
+    keys = placed.select(*DOCUMENT, "doc_id", "source", "has_source", "text_hash", "first")
+    own = own.join(keys, DOCUMENT).withColumn("source", F.when(F.col("has_source"), F.col("source")))
+    texts = docs.select("doc_id", "source", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    texts = texts.dropDuplicates(["doc_id", "source", "text_hash"]).select(*(F.col(c).alias(f"t_{c}") for c in texts.columns))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("t_doc_id"))
+        & (F.col("text_hash") == F.col("t_text_hash"))
+        & F.col("source").eqNullSafe(F.col("t_source"))
+    )
+    met = own.join(texts, same).withColumn("cut", cut_pieces("t_text", "spans"))
+    met = met.select("source", "first", F.inline(F.arrays_zip("spans", "cut")))
+    met = met.select("source", "spans.*", F.struct((F.col("first") + F.col("spans.from")).alias("at"), "cut", (F.col("spans.to") - F.col("spans.from")).alias("n")).alias("part"))
+    # The parts of one slot: BLOCK words at most.
+    slots_ = met.groupBy(*slot, "source").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    words = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    return slots_.select("shard", "place", "source", "pass", "block", words.alias("n_words"), F.array_join("parts.cut", " ").alias("text"))
