@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from treeline.llm import quality_model, queries, toxicity
 
@@ -76,16 +77,60 @@ def test_labels_of_one_kind_or_none(spark):
     for labels, want in (([], 0.0), ([(1, 0)], 0.0), ([(1, 1)], 1.0)):
         model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert [r.score for r in toxicity.score(docs, model).collect()] == [want] * 3
-    model = quality_model.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
-    assert [r.score for r in quality_model.score(docs, model).collect()] == [0.0] * 3
-    model = quality_model.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
-    assert len(quality_model.score(docs, model).collect()) == 3
-    assert quality_model.score(docs.limit(0), model).count() == 0
+    rows = quality_model.measured(docs)
+    model = quality_model.fit(rows, spark.createDataFrame([], "doc_id long, quality int"))
+    assert [r.score for r in quality_model.score(rows, model).collect()] == [0.0] * 3
+    model = quality_model.fit(rows, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert len(quality_model.score(rows, model).collect()) == 3
+    assert quality_model.score(quality_model.measured(docs.limit(0)), model).count() == 0
 
 
-def test_positive_unlabelled_risk_separates_a_known_mixture():
+def mixture():
+    """Good rows, bad rows, an unlabelled mixture of both, and bins."""
     rng = np.random.default_rng(0)
     good, bad = rng.normal(2, 1, (3000, 2)), rng.normal(-2, 1, (1200, 2))
-    model = quality_model.fit_rows(good[:1500], np.concatenate([good[1500:], bad]))
+    web = np.concatenate([good[1500:], bad])
+    return good, bad, web, np.quantile(web, np.linspace(0, 1, 7)[1:-1], axis=0).T
+
+
+def test_positive_unlabelled_risk_separates_a_known_mixture():
+    good, bad, web, edges = mixture()
+    margins = quality_model.fit_plain(good[:1500], web, edges).margin
+    limits = quality_model.thresholds(margins(good[:1500]))
+    above = [(margins(web) >= limit).sum() for limit in limits]
+    prior = quality_model.class_prior(margins(good[:1500]), above, len(web))
+    assert abs(prior - 1500 / 2700) < 0.1
+    model = quality_model.fit_rows(good[:1500], web, edges, prior)
     assert (model.score(good) > 0.5).mean() > 0.95
     assert (model.score(bad) < 0.5).mean() > 0.95
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.99])
+def test_gradient_of_the_risk_against_finite_differences(prior):
+    good, _, web, edges = mixture()
+    p, u = quality_model.design(good[:200], edges).astype(float), quality_model.design(web, edges).astype(float)
+    w = np.random.default_rng(5).normal(0, 0.7, p.shape[1]) + (2.0 if prior > 0.9 else 0.0)
+    _, negative, gradient = quality_model.risk(w, p, u, prior)
+
+    def followed(w):
+        good_part, bad_part, _ = quality_model.risk(w, p, u, prior)
+        return good_part + bad_part if negative >= 0 else -bad_part
+
+    steps = np.eye(len(w)) * 1e-6
+    numeric = np.array([(followed(w + s) - followed(w - s)) / 2e-6 for s in steps])
+    assert np.allclose(numeric, gradient, atol=1e-6)
+
+
+def test_prior_and_bins_come_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, "word " * (i % 90 + 1)) for i in range(900)], "doc_id long, text string")
+    rows = quality_model.measured(docs)
+    data = np.array([quality_model.measures("word " * (i % 90 + 1)) for i in range(900)])
+    edges = quality_model.bin_edges(rows)
+    assert edges.shape == (quality_model.MEASURES, quality_model.BINS - 1)
+    for i, row in enumerate(edges):
+        shares = [(data[:, i] <= e).mean() for e in row]
+        assert all(s >= k / quality_model.BINS - 1e-3 for k, s in enumerate(shares, 1))
+    model = quality_model.Model(edges, np.random.default_rng(1).normal(size=(quality_model.MEASURES, quality_model.BINS)), 0.1)
+    limits = np.quantile(model.margin(data), [0.1, 0.5, 0.9])
+    above, n = quality_model.count_above(rows, model, limits)
+    assert n == 900 and above.tolist() == [(model.margin(data) >= e).sum() for e in limits]

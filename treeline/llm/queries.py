@@ -89,7 +89,8 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     docs, held = table(spark, folder, "documents"), toxicity.held_out("doc_id", 3, 1)
     labels = table(spark, folder, "labels").filter(~held).select("doc_id", "quality")
-    scored = quality_model.score(docs, quality_model.fit(docs, labels))
+    rows = quality_model.measured(docs)
+    scored = quality_model.score(rows, quality_model.fit(rows, labels))
     predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
     return scored.select("doc_id", held.alias("held_out"), "score", predicted.alias("predicted"))
 
