@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from test_decontaminate import brute as contaminated
-from test_simhash import brute_groups, brute_print
+from test_simhash import brute_copies
 
 from treeline.llm import mixing
 
@@ -22,8 +22,10 @@ def test_stages(spark):
         seen[name] = len(rows)
         docs = spark.createDataFrame(rows, docs.schema)
         if name == "near_dedup":
-            groups = brute_groups([r.doc_id for r in before], [brute_print(r.text) for r in before])
-            assert sorted(r.doc_id for r in rows) == sorted(set(groups))
+            first = {}
+            for r, group in sorted(zip(before, brute_copies([r.text for r in before])), key=lambda x: x[0].doc_id):
+                first.setdefault(group, r.doc_id)
+            assert sorted(r.doc_id for r in rows) == sorted(first.values())
         if name == "decontamination":
             assert sorted(rows) == sorted(r for r in before if not contaminated(r.text, items)[1])
         if name == "mix":

@@ -9,6 +9,12 @@ nodes becomes several trees, and each tree is sent to all parts of its own shard
 to all tasks, since all trees together grow with the data. A task returns a spanning forest of
 the links it finds, so that no group yields all its pairs.
 
+`near_groups` links fingerprints of shingles. `copy_groups` also finds copies with more changes:
+a changed word moves four shingles but one word, so its trees hold fingerprints of the distinct
+words (one for each seed of WORD_SEEDS, as each misses some pairs by chance), and a candidate is a
+link only if the fingerprints of its shingles differ in at most CONFIRM bits, which texts that
+merely share a vocabulary do not pass. `one_of_each` keeps one document of each such group.
+
 Defined results
 * A-Z lower-cased; words are runs of anything but ASCII blanks. Fewer words than a shingle:
   the whole sequence is the one shingle. No word or null text: fingerprint zero, linked like any.
@@ -36,6 +42,8 @@ SEED = 42
 RADIUS = 4
 PIECES = 6
 TREE_NODES = 4096
+WORD_SEEDS = (42, 43)
+CONFIRM = 16
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHARD = "piece_pair int, piece_bits long, tree int, part int"
 
@@ -52,6 +60,11 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     starts = np.concatenate([[0], ends[:-width] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())]
+    return majority(hashes)
+
+
+def majority(hashes: list[int]) -> int:
+    """64 bits, each set if it is set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], ">u8")
@@ -59,6 +72,12 @@ def fingerprint(text: str | None, width: int = SHINGLE, seed: int = SEED) -> int
     return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
+def word_fingerprints(text: str | None, seeds: tuple[int, ...] = WORD_SEEDS) -> list[int]:
+    """A fingerprint of the distinct words for each seed."""
+    words = set((text or "").encode("utf-8", "replace").translate(LOWERED).split())
+    return [majority([xxhash.xxh64_intdigest(w, seed) for w in words]) if words else 0 for seed in seeds]
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, text_hash and print (the 64 bits as a signed long) of every row."""
 
@@ -72,6 +91,21 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, seed: int = SEED) -> Dat
     return rows.mapInArrow(sketch, "doc_id long, text_hash long, print long")
 
 
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, print and words (fingerprints of the distinct words) of every row."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            signed = pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            words = np.array([word_fingerprints(t) for t in texts], np.uint64).reshape(len(texts), -1).view(np.int64)
+            columns = [*batch.columns[:2], signed, pa.array(words.tolist(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "print", "words"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
+    return rows.mapInArrow(sketch, "doc_id long, text_hash long, print long, words array<long>")
+
+
 def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -124,15 +158,29 @@ class Forest:
         return a != b
 
 
-def tree_links(tree_values: list[int], queries: list[int] | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links inside the tree, or between it and the queries."""
+def tree_links(
+    tree_values: list[tuple[int, int]], queries: list[tuple[int, int]] | None, radius: int, confirm: int
+) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """A spanning forest of the links inside the tree, or between it and the queries.
+
+    Values are pairs: the first entries stand in the tree, the second ones confirm what it finds.
+    """
     tree, forest, links = Tree(), Forest(), []
+    held: dict[int, list[tuple[int, int]]] = {}
+
+    def meet(value: tuple[int, int]) -> None:
+        for near in tree.within(value[0], radius):
+            for other in held[near]:
+                if (other[1] ^ value[1]).bit_count() <= confirm and forest.join(value, other):
+                    links.append((value, other))
+
     for value in tree_values:
         if queries is None:
-            links += [(value, near) for near in tree.within(value, radius) if forest.join(value, near)]
-        tree.add(value)
+            meet(value)
+        tree.add(value[0])
+        held.setdefault(value[0], []).append(value)
     for value in queries or ():
-        links += [(value, near) for near in tree.within(value, radius) if forest.join(value, near)]
+        meet(value)
     return links
 
 
@@ -155,18 +203,25 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
     `prints` has one column, print, without repeats. Any radius up to 62 works: the number
     of pieces is the radius plus two.
     """
+    pairs = confirmed_links(prints.select("print", F.lit(0).cast("long").alias("other")), radius, 0, tree_nodes)
+    return pairs.select("u", "v")
+
+
+def confirmed_links(prints: DataFrame, radius: int, confirm: int, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """Links (u, u_other, v, v_other) that connect all pairs within the radius by `print` and within
+    `confirm` by `other`; `prints` has these two columns and no repeats."""
     pieces = radius + 2
-    shards = prints.select("print", F.explode(shard_keys("print", pieces)).alias("s")).select("print", "s.*")
+    shards = prints.select("print", "other", F.explode(shard_keys("print", pieces)).alias("s")).select("print", "other", "s.*")
     shards = shards.withColumn("shard", F.xxhash64("piece_pair", "piece_bits"))
     sizes = shards.groupBy("shard").agg(F.count(F.lit(1)).alias("nodes")).filter("nodes > 1")
     sizes = sizes.withColumn("trees", F.ceil(F.col("nodes") / tree_nodes).cast("int"))
-    rows = attach(shards, sizes, "shard", "nodes", ["print"]).filter("trees is not null")
-    own = F.pmod(F.xxhash64("print"), F.col("trees")).cast("int")
+    rows = attach(shards, sizes, "shard", "nodes", ["print", "other"]).filter("trees is not null")
+    own = F.pmod(F.xxhash64("print", "other"), F.col("trees")).cast("int")
     # Tree `own` meets itself and, as a pair, every other part of its shard once.
     other = F.explode(F.sequence(F.lit(0), F.col("trees") - 1))
-    rows = rows.select("shard", "print", own.alias("own"), other.alias("other"))
+    rows = rows.select("shard", "print", "other", own.alias("own"), other.alias("also"))
     rows = rows.select(
-        "shard", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("part"), "own", "print"
+        "shard", F.least("own", "also").alias("tree"), F.greatest("own", "also").alias("part"), "own", "print", "other"
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,21 +231,20 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
             if not len(table):
                 return
             cuts = np.flatnonzero((table[1:, :3] != table[:-1, :3]).any(axis=1)) + 1
-            out: list[tuple[int, int]] = []
+            out: list[tuple[tuple[int, int], tuple[int, int]]] = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(table)]):
                 if b - a > 1:
                     group = table[a:b]
-                    values = [int(x) & (1 << 64) - 1 for x in group[:, 4]]
+                    values = list(zip(*((c & (1 << 64) - 1 for c in group[:, k].tolist()) for k in (4, 5))))
                     if group[0, 1] == group[0, 2]:
-                        out += tree_links(values, None, radius)
+                        out += tree_links(values, None, radius, confirm)
                     else:
                         first = group[:, 3] == group[0, 1]
-                        out += tree_links(
-                            [v for v, f in zip(values, first) if f], [v for v, f in zip(values, first) if not f], radius
-                        )
+                        mine = [v for v, f in zip(values, first) if f]
+                        out += tree_links(mine, [v for v, f in zip(values, first) if not f], radius, confirm)
             if out:
-                pairs = np.array(out, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+                pairs = np.array(out, np.uint64).reshape(len(out), 4).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs.T], ["u", "u_other", "v", "v_other"])
 
         for batch in batches:
             table = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
@@ -203,7 +257,8 @@ def links(prints: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES)
             yield from found(held[0])
 
     keys = ["shard", "tree", "part"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "own", "print").mapInArrow(search, "u long, v long")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "own", "print", "other")
+    return rows.mapInArrow(search, "u long, u_other long, v long, v_other long")
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -220,14 +275,30 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return attach(rows, written(named, "groups"), "print", "copies", ["doc_id"])
 
 
+def copy_groups(docs: DataFrame, radius: int = RADIUS, confirm: int = CONFIRM) -> DataFrame:
+    """doc_id, text_hash and root (a number that names the group) of every row."""
+    rows = written(sketches(docs), "sketches")
+    nodes = written(rows.groupBy("print").agg(F.count(F.lit(1)).alias("copies")), "distinct-fingerprints")
+    found = links(nodes.select("print"), radius)
+    for place in range(len(WORD_SEEDS)):
+        pairs = rows.select(F.get("words", F.lit(place)).alias("print"), F.col("print").alias("other")).distinct()
+        near = confirmed_links(pairs, radius, confirm)
+        # The second entries are fingerprints of shingles, which stand for all their rows.
+        found = found.unionByName(near.select(F.col("u_other").alias("u"), F.col("v_other").alias("v")))
+    roots = components(found)
+    named = nodes.join(roots, F.col("print") == F.col("id"), "left")
+    named = written(named.select("print", "copies", F.coalesce("root", "print").alias("root")), "roots")
+    return attach(rows.select("doc_id", "text_hash", "print"), named, "print", "copies", ["doc_id"])
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each group: that with the smallest doc_id, then the smallest hash of its text.
+    """One row of each group of copies: that with the smallest doc_id, then the smallest hash of its text.
 
     Null doc_ids come last, so a group of them keeps one row too. A doc_id that several texts
     share may stay once for each of their groups; equal rows fall to one.
     """
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
-    leaders = near_groups(docs, radius).groupBy("root").agg(F.min(place).alias("at")).select("at.*")
+    leaders = copy_groups(docs, radius).groupBy("root").agg(F.min(place).alias("at")).select("at.*")
     key = lambda: F.xxhash64("doc_id", "text_hash")
     chosen = leaders.select(key().alias("_chosen"), F.col("doc_id").alias("_leader"), F.col("text_hash").alias("_leader_hash"))
     rows = docs.withColumn("_row_hash", text_hash())
