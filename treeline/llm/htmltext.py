@@ -358,8 +358,11 @@ def token_counts(html: str) -> Counter:
 
 def learn(pages: DataFrame, labelled: int = LABELLED) -> Weights:
     """Weights from at most `labelled` pages, chosen by a hash, that mark their main content."""
-    marked = pages.filter(F.col("html").rlike("(?i)<(main|article)[\\s>]")).select("page_id", "html")
-    chosen = marked.orderBy(F.xxhash64("page_id", "html"), "page_id").limit(labelled).select("html")
+    marked = pages.filter(F.col("html").rlike("(?i)<(main|article)[\\s>]"))
+    marked = marked.select(F.xxhash64("page_id", "html").alias("place"), "html")
+    # Hashes alone find the last place that is taken; pages then stay where they are read.
+    last = marked.select("place").distinct().orderBy("place").limit(labelled).agg(F.max("place")).first()[0]
+    chosen = marked.filter(F.col("place") <= F.lit(last)).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
