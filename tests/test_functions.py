@@ -129,6 +129,7 @@ def test_paths(evaluate):
     assert evaluate(["a", "a/b"], lambda c: paths.ancestors(c, include_self=False)) == [[], ["a"]]
     safe = ["a/b", "a/../b", "../b", "a/../../b", "/etc", "", "  ", ".", "a\\..\\..\\x"]
     assert evaluate(safe, paths.is_safe) == [True, True, False, False, False, False, False, True, False]
+    assert [paths.is_safe_path(p) for p in safe] == [True, True, False, False, False, False, False, True, False]
 
 
 def test_globs(evaluate):

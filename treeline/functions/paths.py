@@ -59,6 +59,17 @@ def is_safe(path: Column) -> Column:
     return (cleaned != "") & ~cleaned.startswith("/") & (depth >= 0)
 
 
+def is_safe_path(path: str) -> bool:
+    """The same of one path that the driver holds, without a job."""
+    depth = 0
+    cleaned = path.strip(" \t\n\r\f\v\u00a0").replace("\\", "/")
+    for part in cleaned.split("/"):
+        depth += {"": 0, ".": 0, "..": -1}.get(part, 1)
+        if depth < 0:
+            return False
+    return cleaned != "" and not cleaned.startswith("/")
+
+
 _GLOB_REGEX = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
 
 

@@ -244,6 +244,9 @@ SQL["q20_token_frequencies"] = "WITH " + TOKENS + "SELECT token, count(*) AS n F
 
 SQL["q21_bm25"] = "WITH " + BM25 + "SELECT kind, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM bm25"
 SQL["q22_nearest"] = "WITH " + DENSE + "SELECT kind, CAST(rank AS INTEGER) AS rank, doc_id, round(distance, 6) AS distance FROM dense"
+SQL["q21_stored_bm25"] = SQL["q21_bm25"]
+SQL["q22_stored_nearest"] = SQL["q22_nearest"]
+SQL["q21_index_upkeep"] = "WITH " + BM25 + "SELECT kind, token, CAST(count(*) AS BIGINT) AS df FROM tfs GROUP BY kind, token"
 SQL["q23_fusion"] = "WITH " + FUSED + "SELECT kind, CAST(rank AS INTEGER) AS rank, doc_id, round(rrf, 6) AS rrf FROM fused"
 
 SQL["q24_hybrid"] = "WITH " + FUSED + """,

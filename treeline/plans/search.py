@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from treeline.functions.comments import line_fragments
 from treeline.functions.tokens import mixed_pieces, name_tokens
-from treeline.operators import corpus, retrieval
+from treeline.operators import corpus, rankedindex, retrieval, vectorstore
 from treeline.plans import facts, standins
+from treeline.session import work_folder
 from treeline.sources.tables import table
 
 QUERY = "the hentive Ciónllcita mente unger_Reou Mente"
@@ -80,6 +81,35 @@ def q22_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return _nearest(spark, folder).select("kind", "rank", "doc_id", F.round("distance", 6).alias("distance"))
 
 
+def q21_stored_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    """The ranking of q21 from a stored index, which it builds first."""
+    index = rankedindex.refreshed_index(_docs(spark, folder), work_folder(spark, "index"))
+    ranked = index.bm25(retrieval.tokenize_query(spark, QUERY))
+    return ranked.select("kind", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def q21_index_upkeep(spark: SparkSession, folder: str) -> DataFrame:
+    """Document frequencies of an index that was built from former documents and then brought up to date.
+
+    Formerly every tenth document was missing, every seventh had other words, and some were
+    there that are none now.
+    """
+    docs = _docs(spark, folder)
+    former = docs.filter(F.pmod("doc_id", F.lit(10)) != 3).withColumn(
+        "text", F.when(F.pmod("doc_id", F.lit(7)) == 2, F.concat(F.lit("former words "), "text")).otherwise(F.col("text"))
+    )
+    dropped = docs.filter(F.pmod("doc_id", F.lit(50)) == 1).withColumn("doc_id", -F.col("doc_id"))
+    index = rankedindex.refreshed_index(former.unionByName(dropped), work_folder(spark, "index"))
+    return index.update(docs).vocabulary()
+
+
+def q22_stored_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest vectors of q22 from vectors stored by pivots."""
+    index = vectorstore.build_vectors(_vectors(spark, folder), work_folder(spark, "vectors"))
+    found = index.nearest(_query_vector(spark, folder))
+    return found.select("kind", "rank", "doc_id", F.round("distance", 6).alias("distance"))
+
+
 def q23_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval.fuse(_bm25(spark, folder), _nearest(spark, folder)).select(
         "kind", "rank", "doc_id", F.round("rrf", 6).alias("rrf")

@@ -8,17 +8,21 @@ so the answer is the same "too large" stub the cap would produce.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline import settings
-from treeline.functions.paths import is_safe
+from treeline.functions.paths import is_safe_path
 from treeline.operators import editing, includes, references, retrieval, symbols, textsearch
 from treeline.operators.compaction import CUT_MARKER, LEAST_CONTENT
+from treeline.operators.rankedindex import RankedIndex
 from treeline.operators.registry import Registry
+from treeline.operators.vectorstore import VectorIndex
 from treeline.session import ensure_checkpoint_dir
+from treeline.sources.segments import GONE, Conflict, Segments
 
 EDITS_PER_CHECKPOINT = 20
 MISSING = {"ok": False, "error": "index not available"}
@@ -41,6 +45,12 @@ class Tables:
     corpus: DataFrame | None = None
     records: DataFrame | None = None
     vectors: DataFrame | None = None
+    #: Stored forms that searches prefer to `corpus` and `vectors`.
+    index: RankedIndex | None = None
+    vector_index: VectorIndex | None = None
+    #: Where edits last: the store of `files`, and what refreshes the facts of edited files.
+    file_store: Segments | None = None
+    refresh: Callable[[list[str]], DataFrame] | None = None
 
 
 def cap_of(tool: str) -> int:
@@ -101,8 +111,7 @@ class Toolbox:
         return rows[:bound]
 
     def _path_problem(self, path: str) -> dict | None:
-        safe = self.spark.range(1).select(is_safe(F.lit(path))).head()[0]
-        return None if safe else {"ok": False, "error": "path must stay inside the workspace", "relative_path": path}
+        return None if is_safe_path(path) else {"ok": False, "error": "path must stay inside the workspace", "relative_path": path}
 
     def _dir(self, path: str) -> str:
         return path.strip().replace("\\", "/").rstrip("/") or "."
@@ -199,15 +208,39 @@ class Toolbox:
             "context_updates": {"last_file_search_query": name_query, "last_retrieve": places},
         }
 
-    def _store(self, path: str, text: str) -> None:
-        """Put one file in place of its former version."""
+    def _store(self, path: str, text: str) -> dict | None:
+        """Put one file in place of its former version; an answer if someone else changed the files.
+
+        With a store of files the edit is a commit that other sessions see. It is refused, and
+        the present version loaded, if the files have changed since this session read them.
+        """
         new = self.spark.createDataFrame([(path, text)], "file string, text string")
-        files = self.tables.files.select("file", "text").filter(F.col("file") != path).unionByName(new)
-        self._edits += 1
-        if self._edits % EDITS_PER_CHECKPOINT == 0:
-            ensure_checkpoint_dir(self.spark)
-            files = files.checkpoint()
-        self.tables.files = files
+        store = self.tables.file_store
+        if store is None:
+            files = self.tables.files.select("file", "text").filter(F.col("file") != path).unionByName(new)
+            self._edits += 1
+            if self._edits % EDITS_PER_CHECKPOINT == 0:
+                ensure_checkpoint_dir(self.spark)
+                files = files.checkpoint()
+            self.tables.files = files
+            return None
+        draft = store.draft()
+        draft.put("files", new)
+        draft.put(GONE, new.select("file"))
+        try:
+            self.tables.file_store = draft.commit()
+        except Conflict:
+            self.reload_files()
+            return {"ok": False, "error": "the files have changed meanwhile; read again", "path": path}
+        self.tables.files = self.tables.file_store.read("files")
+        if self.tables.refresh is not None:
+            self.tables.includes = self.tables.refresh([path])
+        return None
+
+    def reload_files(self) -> None:
+        """Take up what other sessions have committed."""
+        self.tables.file_store = self.tables.file_store.refreshed()
+        self.tables.files = self.tables.file_store.read("files")
 
     def replace_text_in_file(self, relative_path: str, old_text: str, new_text: str, expected_occurrences: int) -> dict:
         """Replace an exact text when it occurs exactly as often as expected."""
@@ -221,7 +254,8 @@ class Toolbox:
             return {"ok": False, "error": "no such file", "path": path}
         if not row["ok"]:
             return {"ok": False, "error": row["error"], "path": path}
-        self._store(path, row["text"])
+        if problem := self._store(path, row["text"]):
+            return problem
         return {
             "ok": True, "path": path, "replaced_occurrences": row["occurrences"],
             "context_updates": {"last_modified_relative_path": relative_path},
@@ -236,7 +270,8 @@ class Toolbox:
         row = editing.plan_writes(self.tables.files.filter(F.col("file") == path), write).head()
         if not row["ok"]:
             return {"ok": False, "error": "the file exists and overwrite is false", "path": path}
-        self._store(path, content)
+        if problem := self._store(path, content):
+            return problem
         return {
             "ok": True, "path": path, "created": row["created"], "overwritten": row["overwritten"],
             "characters_written": row["characters_written"],
@@ -313,10 +348,16 @@ class Toolbox:
     def resolve_term(self, query: str, top_k: int = settings.DEFAULT_TOP_K) -> dict:
         """Find candidate modules and symbols for a term."""
         t = self.tables
-        if t.corpus is None or t.vectors is None or t.records is None or self.embed is None:
+        if t.records is None or (t.index is None and t.corpus is None):
             return dict(MISSING)
-        sparse = retrieval.bm25_topk(t.corpus, retrieval.tokenize_query(self.spark, query))
-        dense = retrieval.nearest(t.vectors, self.embed(query))
+        tokens = retrieval.tokenize_query(self.spark, query)
+        sparse = t.index.bm25(tokens) if t.index is not None else retrieval.bm25_topk(t.corpus, tokens)
+        # Without vectors, or a function that embeds the question, BM25 decides alone.
+        dense, mode = sparse.limit(0), "bm25"
+        if self.embed is not None and t.vector_index is not None:
+            dense, mode = t.vector_index.nearest(self.embed(query)), "hybrid"
+        elif self.embed is not None and t.vectors is not None:
+            dense, mode = retrieval.nearest(t.vectors, self.embed(query)), "hybrid"
         rows = self._rows(
             retrieval.quota_merge(retrieval.fuse(sparse, dense), t.records, top_k).orderBy("side", "position"),
             "resolve_term", 2 * top_k + 2)
@@ -326,5 +367,5 @@ class Toolbox:
         found = [{"name": r["key"], "file": r["file"], "kind": r["symbol_kind"], "score": r["score"]} for r in pick("symbol")]
         return {
             "ok": True, "query": query, "candidates": {"modules": modules, "symbols": found},
-            "retrieval": hits | {"module_candidates": len(modules), "symbol_candidates": len(found)},
+            "retrieval": hits | {"mode": mode, "module_candidates": len(modules), "symbol_candidates": len(found)},
         }
