@@ -19,6 +19,10 @@ from treeline.functions.tokens import cjk_fragments, name_tokens
 from treeline.operators.distributed import first_per_key
 
 
+#: Lines of a band; a window of 61 lines touches three at most.
+BAND = settings.COMMENT_WINDOW + 1
+
+
 def comments_by_suffix(file: Column, text: Column, fragments: Callable[[Column], Column]) -> Column:
     """Comment fragments per line, by the comment style of the file's suffix."""
     return F.when(suffix(file).isin(*settings.C_SUFFIXES), line_fragments(text, fragments, C_COMMENT)).when(
@@ -36,16 +40,29 @@ def commented_lines(
 def related_comments(definitions: DataFrame, commented: DataFrame) -> DataFrame:
     """Distinct comment fragments within 30 lines of each definition, in order, cut to 1,000 characters.
 
-    Each definition meets its one file row and slices it; no line-by-line range join.
+    A band join: files are cut into bands of BAND lines, each place meets the two or three bands
+    that its window touches, and the pieces of a window are put together in order. No row
+    carries more of a file than a band, whatever the file's size and number of definitions.
     """
+    band_of = lambda line: F.floor((line - 1) / BAND).cast("int")
+    count = F.ceil(F.size("fragments") / BAND).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
+    bands = F.transform(starts, lambda i: F.slice("fragments", i * BAND + 1, BAND))
+    bands = commented.select("file", F.posexplode(bands).alias("band", "lines"))
+    bands = bands.filter(F.exists("lines", lambda fragments: F.size(fragments) > 0))
     first = F.greatest(F.lit(1), F.col("line") - settings.COMMENT_WINDOW)
-    last = F.least(F.size("fragments"), F.col("line") + settings.COMMENT_WINDOW)
-    window = F.slice("fragments", first, F.greatest(last - first + 1, F.lit(0)))
-    joined = F.array_join(F.array_distinct(F.flatten(window)), " ")
-    return (
-        definitions.join(commented, "file", "left")
-        .withColumn("related", F.coalesce(F.substring(joined, 1, settings.SYMBOL_COMMENT_CHARS), F.lit("")))
-        .drop("fragments")
+    last = F.col("line") + settings.COMMENT_WINDOW
+    places = definitions.filter("file IS NOT NULL AND line IS NOT NULL").select("file", "line").distinct()
+    places = places.select("file", "line", F.explode(F.sequence(band_of(first), band_of(last))).alias("band"))
+    skip = F.greatest(first - F.col("band") * BAND, F.lit(1))
+    piece = F.slice("lines", skip, F.greatest(last - F.col("band") * BAND - skip + 1, F.lit(0)))
+    met = places.join(bands, ["file", "band"]).select("file", "line", "band", F.flatten(piece).alias("piece"))
+    # At most three bands a place.
+    pieces = F.sort_array(F.collect_list(F.struct("band", "piece")))["piece"]
+    joined = F.array_join(F.array_distinct(F.flatten(pieces)), " ")
+    related = met.groupBy("file", "line").agg(F.substring(joined, 1, settings.SYMBOL_COMMENT_CHARS).alias("related"))
+    return definitions.join(related, ["file", "line"], "left").select(
+        *definitions.columns, F.coalesce("related", F.lit("")).alias("related")
     )
 
 

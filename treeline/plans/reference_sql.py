@@ -201,7 +201,13 @@ SELECT name, CAST(rank AS INTEGER) AS rank, module_path, file, line, substring(t
 SQL["q15_scoped_references"] = "WITH " + references() + """
 SELECT name, module_path, count(*) AS refs FROM refs WHERE module_path = 'src3' GROUP BY ALL"""
 
-SQL["q16_unreferenced"] = "WITH " + references() + "SELECT name FROM defs ANTI JOIN refs USING (name)"
+# A name is unreferenced if its only line is the one of its definition, or none.
+SQL["q16_unreferenced"] = "WITH " + symbols(LINES).replace("defs AS (", "defs AS MATERIALIZED (") + """,
+spots AS MATERIALIZED (SELECT DISTINCT file, line_no, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS name FROM lines),
+counts AS (SELECT name, count(*) AS n FROM spots GROUP BY name),
+own AS (SELECT s.name, count(*) AS n FROM spots s JOIN defs d ON s.name = d.name AND s.file = d.file AND s.line_no = d.line GROUP BY s.name)
+SELECT d.name FROM defs d LEFT JOIN counts c ON c.name = d.name LEFT JOIN own o ON o.name = d.name
+WHERE coalesce(c.n, 0) = coalesce(o.n, 0)"""
 
 SQL["q17_preferred_definition"] = "WITH " + symbols(LINES) + """,
 kinds AS (SELECT ['typedef', 'function', 'class', 'member', 'macro', 'enum', 'struct', 'namespace', 'prototype', 'variable'] AS k,
@@ -210,9 +216,12 @@ ranked AS (SELECT name, file, line, k[doc_id % 10 + 1] AS kind, coalesce(list_po
 SELECT name, file, CAST(line AS INTEGER) AS line, kind FROM
     (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN r = 0 THEN 99 ELSE r END, file, line) AS n FROM ranked) WHERE n = 1"""
 
-RELATED = symbols(FRAGMENTS) + """,
-near AS (SELECT d.name, f.fragment, min(f.line_no * 10 + f.idx) AS spot FROM defs d JOIN frags f
-    ON f.file = d.file AND f.line_no BETWEEN d.line - 30 AND d.line + 30 GROUP BY ALL),
+# Windows of 61 lines over bands of 61: two bands each, so all joins are on equal keys.
+RELATED = symbols(FRAGMENTS).replace("defs AS (", "defs AS MATERIALIZED (").replace("frags AS (", "frags AS MATERIALIZED (") + """,
+windows AS (SELECT name, file, line, unnest(range((line - 30 + 61) // 61, (line + 30 + 61) // 61 + 1)) AS band FROM defs),
+banded AS (SELECT file, fragment, line_no, idx, (line_no + 61) // 61 AS band FROM frags),
+near AS (SELECT d.name, f.fragment, min(f.line_no * 10 + f.idx) AS spot FROM windows d JOIN banded f
+    ON f.file = d.file AND f.band = d.band WHERE f.line_no BETWEEN d.line - 30 AND d.line + 30 GROUP BY ALL),
 joined AS (SELECT name, string_agg(fragment, ' ' ORDER BY spot) AS all_ FROM near GROUP BY name),
 related AS (SELECT d.name, substring(coalesce(j.all_, ''), 1, 1000) AS related FROM defs d LEFT JOIN joined j ON j.name = d.name)
 """
