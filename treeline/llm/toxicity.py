@@ -51,7 +51,7 @@ SPAN, DECAY = 6, 0.6
 STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 WINDOW, STRIDE = 48, 28
 NEUTRAL = -4.0
-CACHE = 400_000
+CACHE = 800_000
 SHORT, JOINED = 3, 12
 CALM = 0.99
 #: Fixed look-alikes: what a reader takes the character for.
@@ -64,7 +64,8 @@ ENDS = "\"'.,;:!?()[]{}*#%&|<>-_/\\~+="
 
 @lru_cache(100_000)
 def bare(piece: str) -> str:
-    return INNER.sub("", piece.translate(LOOKS))
+    core = piece.strip(ENDS)
+    return core if core.isascii() and core.isalpha() else INNER.sub("", core.translate(LOOKS))
 
 
 def parts_of(text: str | None) -> tuple[set[str], set[str]]:
@@ -96,10 +97,11 @@ def units_of(text: str | None) -> set[str]:
 
 def spellings(unit: str) -> list[str]:
     """The unit with and without what stands between its letters, in windows if long."""
-    if len(unit) <= STRIDE and unit.isascii() and unit.isalpha():
-        return [unit]
-    seen = unit.translate(LOOKS)
-    core = seen.strip(ENDS)
+    # No look-alike is or becomes a character of ENDS.
+    core = unit.strip(ENDS)
+    if len(core) <= STRIDE and core.isascii() and core.isalpha():
+        return [core]
+    core = core.translate(LOOKS)
     both = dict.fromkeys([core, INNER.sub("", core)])
     out = []
     for s in both:
@@ -111,10 +113,10 @@ def coded(strings: list[str]) -> np.ndarray:
     """Rows of classes: letters from 0, other letters and digits from 26, gaps -1, the end marks last."""
     width = max(map(len, strings), default=0) + 2
     out = np.full((len(strings), width + SPAN), -1, np.int32)
-    points = np.array([list(s.ljust(width)) for s in strings]).view(np.uint32).reshape(len(strings), -1) if width else None
-    if points is None or not len(strings):
+    if not len(strings):
         return out
-    points = points.astype(np.int32)
+    together = "".join([s.ljust(width) for s in strings]).encode("utf-32-le", "surrogatepass")
+    points = np.frombuffer(together, np.int32).reshape(len(strings), width)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     inside = np.arange(width)[None, :] < lengths[:, None]
     letter = (points >= 97) & (points <= 122)
@@ -231,12 +233,15 @@ class Scorer:
         self.cores: list[str] = []
         self.own, self.before, self.after = np.zeros(0), np.zeros(0), np.zeros(0)
         self.sizes = np.zeros(0, np.int64)
-        self.heads, self.tails = (np.zeros((0, self.SIDE), np.int64) for _ in range(2))
+        self.heads, self.tails = (np.zeros((0, self.SIDE), np.int8) for _ in range(2))
 
     def best_forms(self, units: list[str]) -> np.ndarray:
         """The margin of each unit's best spelling."""
         forms = [spellings(u) for u in units]
-        scores = self.model.units([s for f in forms for s in f])
+        # A word with and without punctuation is one form.
+        number: dict[str, int] = {}
+        flat = [number.setdefault(s, len(number)) for f in forms for s in f]
+        scores = self.model.units(list(number))[flat]
         ends = np.cumsum([len(f) for f in forms])
         return np.maximum.reduceat(scores, np.concatenate([[0], ends[:-1]]))
 
@@ -244,7 +249,7 @@ class Scorer:
         cores = [p if p.isascii() and p.isalpha() else bare(p) for p in pieces]
         sizes = np.fromiter(map(len, cores), np.int64, len(cores))
         before, after = np.zeros(len(cores)), np.zeros(len(cores))
-        heads, tails = (np.full((len(cores), self.SIDE), CLASSES, np.int64) for _ in range(2))
+        heads, tails = (np.full((len(cores), self.SIDE), CLASSES, np.int8) for _ in range(2))
         # Longer pieces are never joined.
         short = np.flatnonzero((sizes > 0) & (sizes < JOINED))
         if len(short):
@@ -273,7 +278,7 @@ class Scorer:
         return self.flat[(a * size + b) * size + c]
 
     def pair_margins(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        codes = np.concatenate([self.tails[one], self.heads[two]], axis=1).T.copy()
+        codes = np.concatenate([self.tails[one], self.heads[two]], axis=1).T.astype(np.int64)
         total = self.before[one] + self.after[two]
         for j, k in STEPS:
             for i in range(self.SIDE - k, self.SIDE):
