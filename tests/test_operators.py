@@ -427,3 +427,44 @@ def test_scores_of_documents_in_parts_count_each_document_once(spark):
     parts = [("module", "a", "red"), ("module", "a", "red"), ("module", "a", "blue"), *whole[1:]]
     score = lambda rows: [(r.doc_id, round(r.score, 9)) for r in bm25_topk(spark.createDataFrame(rows, "kind string, doc_id string, text string"), ["red"]).collect()]
     assert score(whole) == score(parts) != []
+
+
+def test_percentiles_of_a_million_values_about_one_rank(spark):
+    n = 1_000_000
+    # Half the mass within a millionth of the median, all values distinct.
+    df = spark.range(n).select(F.when(F.col("id") % 2 == 0, 1.0 + F.col("id") * 1e-12).otherwise(F.col("id").cast("double") * 3).alias("v"))
+    result = exact_percentiles(df, "v", {"p25": 0.25, "p50": 0.5, "p99": 0.99})
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "collect_set" not in plan
+    values = sorted([1.0 + i * 1e-12 for i in range(0, n, 2)] + [i * 3.0 for i in range(1, n, 2)])
+    row = result.head()
+    for name, p in (("p25", 0.25), ("p50", 0.5), ("p99", 0.99)):
+        k = (n - 1) * p
+        low, high = values[int(k)], values[int(k) + 1]
+        assert row[name] == pytest.approx(low + (high - low) * (k - int(k)), rel=1e-15)
+
+
+def test_a_hundred_thousand_special_names_against_plain_search(spark):
+    rng = random.Random(21)
+    names = list({f"{rng.choice(['~', 'operator ', 'a::', 'x-', '@'])}{''.join(rng.choices('abc:-~ =', k=rng.randrange(1, 9)))}" for _ in range(260_000)})
+    names = names[:100_000] + ["::", "a::b", "b::c", "~", "é-é", "--", "a"]
+    lines = ["".join(rng.choices("abc:-~ =_é1", k=rng.randrange(0, 90))) for _ in range(40)] + ["a::b::c a::b", "----", "~ ~~ x~ ~x", "é-é-é", ""]
+    files = spark.createDataFrame([(f"f{i}", "\n".join(lines[i::4])) for i in range(4)] + [("none", None)], "file string, text string")
+    table = spark.createDataFrame([(n,) for n in names + [""]], "name string")
+    got = sorted(tuple(r) for r in references.special_hits(files, table, pack_chars=200_000).collect())
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_"
+    want = []
+    for i in range(4):
+        for number, line in enumerate(lines[i::4], 1):
+            for name in {n for n in names if n in line}:
+                at, times = 0, 0
+                while (at := line.find(name, at)) >= 0:
+                    end = at + len(name)
+                    if (at and line[at - 1] in word) or (end < len(line) and line[end] in word):
+                        at += 1
+                        continue
+                    want.append((name, f"f{i}", number, times))
+                    at, times = end, times + 1
+    assert got == sorted(want) and len(want) > 150
+    plan = references.special_hits(files, table, pack_chars=200_000)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

@@ -48,56 +48,46 @@ def top_ranked(df: DataFrame, order: list[Column], n: int, rank: str = "rank") -
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(window))
 
 
+RANK_BUCKETS = 128
+
+
 def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact linearly interpolated percentiles in one row, without sorting all values in one task.
+    """Exact linearly interpolated percentiles in one row, by selection of ranks.
 
-    A mergeable sketch brackets each wanted rank; one more pass over the distinct
-    values counts what lies below the bracket and keeps only the values inside it
-    (at most 0.08 % of the mass around each rank).
+    A sketch cuts the values into RANK_BUCKETS ranges of about equal mass; its error only moves
+    the cuts. Distinct values are counted, running counts go over the values of one range, and the
+    exact sizes of the ranges before it (RANK_BUCKETS rows) turn them into ranks, among which the
+    two wanted ones of each percentile are picked. No row and no task holds more than a range.
     """
-    accuracy = 10_000
-    margin = 4.0 / accuracy
+    cuts = F.array(*(F.lit(i / RANK_BUCKETS) for i in range(1, RANK_BUCKETS)))
     values = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    edges = [
-        F.lit(edge)
-        for p in probabilities.values()
-        for edge in (max(0.0, p - margin), min(1.0, p + margin))
-    ]
-    sketch = values.agg(F.percentile_approx("v", F.array(*edges), accuracy).alias("edges"))
-    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("edges", sketch.scalar())
-    one = F.struct("v", "c")
-    parts = [F.sum("c").alias("n")]
-    for i, name in enumerate(probabilities):
-        low, high = F.col("edges")[2 * i], F.col("edges")[2 * i + 1]
-        parts += [
-            F.sum(F.when(F.col("v") < low, F.col("c")).otherwise(0)).alias(f"below_{name}"),
-            F.array_sort(F.collect_list(F.when(F.col("v").between(low, high), one))).alias(f"in_{name}"),
-            # The direct neighbours of the bracket, which interpolation may need.
-            F.max(F.when(F.col("v") < low, one)).alias(f"left_{name}"),
-            F.min(F.when(F.col("v") > high, one)).alias(f"right_{name}"),
-        ]
-    row = counted.agg(*parts)
-    return row.select(*[_interpolate(name, p).alias(name) for name, p in probabilities.items()])
-
-
-def _interpolate(name: str, p: float) -> Column:
-    """Percentile from the parts of one bracket."""
-    n, left = F.col("n"), F.col(f"left_{name}")
-    near = F.array_compact(F.concat(F.array(left), F.col(f"in_{name}"), F.array(f"right_{name}")))
-    skipped = F.col(f"below_{name}") - F.coalesce(left["c"], F.lit(0))
-    position = (n - 1) * F.lit(p)
-    lower = F.floor(position)
+    edges = values.agg(F.percentile_approx("v", cuts, 10_000).alias("edges"))
+    counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("edges", edges.scalar())
+    counted = counted.select("v", "c", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bucket"))
+    sizes = counted.groupBy("bucket").agg(F.sum("c").alias("size"))
+    # One row a range.
+    all_before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    every = W.partitionBy(F.lit(0))
+    sizes = sizes.select(
+        "bucket", F.coalesce(F.sum("size").over(all_before), F.lit(0)).alias("before"), F.sum("size").over(every).alias("n")
+    )
+    running = F.sum("c").over(W.partitionBy("bucket").orderBy("v"))
+    ranked = counted.withColumn("upto", running).join(F.broadcast(sizes), "bucket")
+    end = F.col("before") + F.col("upto")
+    ranked = ranked.select("v", "n", (end - F.col("c")).alias("start"), end.alias("end"))
 
     def at(rank: Column) -> Column:
-        return F.aggregate(
-            near,
-            F.struct(skipped.cast("long").alias("seen"), F.lit(None).cast("double").alias("hit")),
-            lambda acc, x: F.struct(
-                (acc["seen"] + x["c"]).alias("seen"),
-                F.coalesce(acc["hit"], F.when(acc["seen"] + x["c"] > rank, x["v"])).alias("hit"),
-            ),
-            lambda acc: acc["hit"],
-        )
-
-    low, high = at(lower), at(F.least(lower + 1, n - 1))
-    return low + (high - low) * (position - lower)
+        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("v")))
+
+    parts = [F.max("n").alias("n")]
+    for name, p in probabilities.items():
+        lower = F.floor((F.col("n") - 1) * F.lit(p))
+        parts += [at(lower).alias(f"low_{name}"), at(F.least(lower + 1, F.col("n") - 1)).alias(f"high_{name}")]
+    row = ranked.agg(*parts)
+
+    def between(name: str, p: float) -> Column:
+        position = (F.col("n") - 1) * F.lit(p)
+        low, high = F.col(f"low_{name}"), F.col(f"high_{name}")
+        return low + (high - low) * (position - F.floor(position))
+
+    return row.select(*(between(name, p).alias(name) for name, p in probabilities.items()))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline import settings
@@ -14,6 +16,10 @@ from treeline.functions.tokens import word_runs
 from treeline.operators.attribution import with_module
 from treeline.operators.distributed import first_per_key, top_ranked
 
+#: Characters of names in one automaton; each takes some 60 bytes in a task.
+PACK_CHARS = 1 << 20
+HIT = "name string, file string, line int, position int"
+
 
 def source_files(definitions: DataFrame) -> DataFrame:
     """Files worth scanning: those a definition names, with a source suffix."""
@@ -65,41 +71,55 @@ def literal_hits(files: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _marks(text: Column) -> Column:
-    """The characters that are neither blanks nor ASCII word characters."""
-    return F.regexp_extract_all(text, F.lit(r"[^A-Za-z0-9_\s]"), F.lit(0))
-
-
-def special_hits(files: DataFrame, names: DataFrame) -> DataFrame:
+def special_hits(files: DataFrame, names: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     """Occurrences of any number of names that hold other characters: name, file, line, position.
 
-    Every run of word characters inside such a name is a whole word of a line the
-    name occurs on. So the longest run finds the candidate lines by an equi-join, and
-    only those are searched for the full name. A name without word characters is
-    anchored by its character of the highest code point instead.
+    One automaton over all names (Aho and Corasick's, with failure links) finds them in one walk
+    over each line, whatever their number; occurrences inside longer words are dropped. Names
+    are dealt into packs of about `pack_chars` characters, which bounds what a task holds: a pack is
+    broadcast and becomes an automaton once a task. Files are read where they lie, never joined.
     """
-    runs = F.transform(word_runs(F.col("name")), lambda r: F.struct(F.length(r).alias("n"), r.alias("anchor")))
-    anchored = (
-        names.select("name").distinct().filter(F.size(word_runs(F.col("name"))) > 0)
-        .select("name", F.array_max(runs)["anchor"].alias("anchor"))
-    )
-    lines = files.select("file", F.posexplode(split_lines(F.col("text"), RETURN_ONLY)).alias("_i", "_line"))
-    words = lines.select("file", "_i", F.explode(F.array_distinct(word_runs(F.col("_line")))).alias("anchor"))
-    candidates = words.join(anchored, "anchor").select("file", "_i", "name")
-    bare = names.select("name").distinct().filter(F.size(word_runs(F.col("name"))) == 0)
-    bare = bare.select("name", F.array_max(_marks(F.col("name"))).alias("anchor")).filter("anchor IS NOT NULL")
-    marks = lines.select("file", "_i", F.explode(F.array_distinct(_marks(F.col("_line")))).alias("anchor"))
-    candidates = candidates.unionByName(marks.join(bare, "anchor").select("file", "_i", "name"))
-    texts = files.select("file", split_lines(F.col("text"), RETURN_ONLY).alias("_lines"))
-    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("name"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pattern = F.concat(F.lit("(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))
-    times = F.regexp_count(F.get("_lines", F.col("_i")), pattern)
-    return (
-        candidates.join(texts, "file")
-        .select("name", "file", (F.col("_i") + 1).alias("line"), times.alias("_times"))
-        .filter("_times > 0")
-        .select("name", "file", "line", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)).alias("position"))
-    )
+    named = names.select("name").distinct().filter("name <> ''")
+    total = named.agg(F.sum(F.length("name"))).head()[0] or 0
+    packs = -(-total // pack_chars)
+    lines = files.select("file", split_lines(F.col("text"), RETURN_ONLY).alias("lines"))
+    found = None
+    for pack in range(packs):
+        own = [r["name"] for r in named.filter(F.pmod(F.xxhash64("name"), F.lit(packs)) == pack).collect()]
+        hits = _walked(lines, own)
+        found = hits if found is None else found.unionByName(hits)
+    return files.sparkSession.createDataFrame([], HIT) if found is None else found
+
+
+def _walked(lines: DataFrame, names: list[str]) -> DataFrame:
+    held = lines.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in held.value:
+            automaton.add_word(name, name)
+        if held.value:
+            automaton.make_automaton()
+        word = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+        for batch in batches:
+            out: list[tuple[str, str, int, int]] = []
+            for file, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                for number, line in enumerate(texts or (), 1):
+                    seen: dict[str, tuple[int, int]] = {}
+                    for last, name in automaton.iter(line) if held.value else ():
+                        start, end = last + 1 - len(name), last + 1
+                        free, times = seen.get(name, (0, 0))
+                        if start < free or line[start - 1 : start] in word or line[end : end + 1] in word:
+                            continue
+                        seen[name] = (end, times + 1)
+                        out.append((name, file, number, times))
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["name", "file", "line", "position"])
+
+    return lines.mapInArrow(run, HIT)
 
 
 def symbol_hits(files: DataFrame, definitions: DataFrame) -> DataFrame:
