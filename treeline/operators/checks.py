@@ -252,3 +252,94 @@ def run_checks(runs: DataFrame, names: list[str] | None = None) -> DataFrame:
     return ready.select(
         *own, *[(CHECKS[n]() if n in CHECKS else F.lit(1.0)).alias(n) for n in wanted]
     )
+
+
+def _lacking(name: str) -> Callable[[], Column]:
+    return lambda: F.filter(_listed(name), lambda n: ~F.col("_all").contains(n))
+
+
+def _tools_lacking() -> Column:
+    used = F.transform(F.filter("_tools", lambda s: F.coalesce(s["ok"], F.lit(True))), lambda s: s["name"])
+    return F.filter(_listed("required_tools"), lambda t: ~F.array_contains(used, t))
+
+
+def _files_lacking() -> Column:
+    free = F.coalesce("expected.any_filename", F.lit(False))
+    untouched = F.filter(_listed("target_files"), lambda t: ~F.array_contains(F.col("_touched"), t))
+    return F.when(free, F.array().cast("array<string>")).otherwise(untouched)
+
+
+def _files_astray() -> Column:
+    """Files changed that are forbidden, or not among those to change."""
+    target = F.col("expected.target_file")
+    allowed = F.concat(
+        _listed("target_files"), F.when(_text(target) != "", F.array(target)).otherwise(F.array().cast("array<string>"))
+    )
+    forbidden = F.transform(
+        F.coalesce("expected.forbidden_files", F.array().cast("array<string>")), lambda f: F.replace(f, F.lit("**"), F.lit(""))
+    )
+    free = F.coalesce("expected.any_filename", F.lit(False))
+    stray = lambda p: ~free & (F.size(allowed) > 0) & ~F.array_contains(allowed, p)
+    return F.array_distinct(
+        F.filter("_touched", lambda p: F.exists(forbidden, lambda f: p.contains(f)) | stray(p))
+    )
+
+
+def _beside_gold() -> Column:
+    gold = F.array_distinct(F.coalesce("expected.gold_list", F.array().cast("array<string>")))
+    return F.when(F.size(gold) == 0, F.array().cast("array<string>")).otherwise(F.array_except(_found(), gold))
+
+
+def _wide_searches() -> Column:
+    places = F.transform(
+        F.filter("_tools", lambda s: s["name"] == "search_text"),
+        lambda s: strip(_text(F.get_json_object(s["arguments"], "$.relative_dir"))),
+    )
+    return F.array_distinct(F.filter(places, lambda p: p.isin("", ".", "/")))
+
+
+#: What the answer key asks for and the run lacks, and what the run holds that it must not.
+MISSING: dict[str, Callable[[], Column]] = {
+    "mentions_covered": lambda: F.filter(_listed("must_mention"), lambda n: ~mentioned(n, _answer())),
+    "required_tools_called": _tools_lacking,
+    "modules_covered": _lacking("must_contain_modules"),
+    "symbols_covered": _lacking("must_contain_symbols"),
+    "key_change_present": _lacking("key_change_fields"),
+    "only_target_file_modified": _files_lacking,
+    "recall": _lacking("gold_list"),
+}
+OFFENDING: dict[str, Callable[[], Column]] = {
+    "no_hallucination": lambda: F.filter(_listed("must_not_contain"), lambda x: _answer().contains(x)),
+    "only_target_file_modified": _files_astray,
+    "precision": _beside_gold,
+    "no_illegal_search": _wide_searches,
+}
+
+
+def run_outcomes(runs: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """A row for each run and check: check_name, passed, score, missing, offending and detail.
+
+    A check is passed with the full score. `missing` lists what the answer key asks for in vain,
+    `offending` what the run holds against it; `detail` says both in words.
+    """
+    wanted = list(CHECKS) if names is None else names
+    own = [c for c in runs.columns if c not in ("expected", "steps", "answer")]
+    none = F.array().cast("array<string>")
+    listed = lambda table, n: table[n]() if n in table else none
+    rows = prepared(runs).select(
+        *own,
+        F.inline(F.array(*[
+            F.struct(
+                F.lit(n).alias("check_name"), (CHECKS[n]() if n in CHECKS else F.lit(1.0)).alias("score"),
+                listed(MISSING, n).alias("missing"), listed(OFFENDING, n).alias("offending"),
+            )
+            for n in wanted
+        ])),
+    )
+    said = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(c, ", ")))
+    detail = F.concat_ws("; ", said("missing: ", "missing"), said("not allowed: ", "offending"))
+    verdict = F.when(F.col("score") == 1, "passed").otherwise("failed")
+    return rows.select(
+        *own, "check_name", (F.col("score") == 1).alias("passed"), "score", "missing", "offending",
+        F.when(detail == "", verdict).otherwise(F.concat(verdict, F.lit("; "), detail)).alias("detail"),
+    )

@@ -143,6 +143,17 @@ def q28_rule_checks(spark: SparkSession, folder: str) -> DataFrame:
     return _checked(spark, folder).select("run_id", "case_id", *[F.round(n, 6).alias(n) for n in names])
 
 
+def q28_check_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every check of every run with its verdict and what is missing; lists joined by commas."""
+    runs = lookup_join(_traces(spark, folder), _cases(spark, folder), "case_id", ["run_id"])
+    rows = checks.run_outcomes(runs)
+    joined = lambda c: F.array_join(F.sort_array(c), ",").alias(c)
+    shown = F.when(F.col("check_name").isin("no_hallucination", "only_target_file_modified", "no_illegal_search"), F.col("offending"))
+    return rows.withColumn("offending", F.coalesce(shown, F.array().cast("array<string>"))).select(
+        "run_id", "check_name", "passed", joined("missing"), joined("offending")
+    )
+
+
 def q28_check_means(spark: SparkSession, folder: str) -> DataFrame:
     names = list(checks.CHECKS)
     return (

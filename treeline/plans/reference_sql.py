@@ -400,6 +400,26 @@ CHECK_NAMES = (
 SQL["q28_rule_checks"] = "WITH " + CHECKED + "SELECT run_id, case_id, " + ", ".join(
     f"round({n}, 6) AS {n}" for n in CHECK_NAMES) + " FROM checked"
 
+_WANTED = {
+    "mentions_covered": "list_filter([w[1], w[2], w[3], w[4] || '|' || w[5]], lambda n: NOT list_bool_or("
+    "list_transform(string_split(n, '|'), lambda p: contains(packed, p))))",
+    "required_tools_called": "list_filter(['search_text', 'write_text_file'], lambda t: NOT list_contains(used, t))",
+    "modules_covered": "list_filter([home, 'src0'], lambda n: NOT contains(whole, n))",
+    "symbols_covered": "list_filter([w[1], w[2]], lambda n: NOT contains(whole, n))",
+    "key_change_present": "list_filter([w[1], w[3]], lambda n: NOT contains(whole, n))",
+    "recall": "list_filter([home, w[1], w[2]], lambda n: NOT contains(whole, n))",
+    "only_target_file_modified": "CASE WHEN any_name OR list_contains(tt, needed) THEN []::VARCHAR[] ELSE [needed] END",
+}
+_AGAINST = {
+    "no_hallucination": "CASE WHEN contains(answer, w[6]) THEN [w[6]] ELSE []::VARCHAR[] END",
+    "only_target_file_modified": "list_filter(tt, lambda p: contains(p, '/' || w[2]) OR (NOT any_name AND p <> needed AND p <> home || '/The.h'))",
+    "no_illegal_search": "CASE WHEN wide THEN ['.'] ELSE []::VARCHAR[] END",
+}
+SQL["q28_check_outcomes"] = "WITH " + CHECKED + " UNION ALL ".join(
+    f"SELECT j.run_id, '{n}' AS check_name, c.{n} = 1 AS passed, array_to_string(list_sort({_WANTED.get(n, '[]::VARCHAR[]')}), ',') AS missing, "
+    f"array_to_string(list_sort({_AGAINST.get(n, '[]::VARCHAR[]')}), ',') AS offending FROM j JOIN checked c ON c.run_id = j.run_id"
+    for n in CHECK_NAMES)
+
 SQL["q28_check_means"] = "WITH " + CHECKED + ", long_ AS (" + " UNION ALL ".join(
     f"SELECT scenario, '{n}' AS check_name, {n} AS score FROM checked" for n in CHECK_NAMES) + """)
 SELECT scenario, check_name, round(avg(score), 6) AS mean_score, count(*) FILTER (WHERE score = 1) AS passed FROM long_ GROUP BY ALL"""
