@@ -78,6 +78,30 @@ def test_tags(spark, tmp_path):
         jsonlines.read_tags(spark, str(bad)).collect()
 
 
+def test_line_numbers_of_a_file_in_many_splits(spark, tmp_path):
+    made = {}
+    for name, n in (("b.jsonl", 3000), ("a.jsonl", 50)):
+        lines = ["" if i % 7 == 3 else "# note" if i % 11 == 5 else json.dumps({"case_id": f"{name}{i}", "human": "x" * (i % 90)}) for i in range(1, n + 1)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n" * (name == "b.jsonl"))
+        made[name] = lines
+    kept = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        numbered = jsonlines.numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8 and numbered.select("ord").distinct().count() == 3050
+        rows = [(r.file, r.line, r.value, r.ord) for r in numbered.collect()]
+        assert sorted(r[:3] for r in rows) == sorted((f, i, v) for f, lines in made.items() for i, v in enumerate(lines, 1))
+        assert [r[:2] for r in sorted(rows, key=lambda r: r[3])] == sorted(r[:2] for r in rows)
+        (tmp_path / "b.jsonl").write_text("\n".join([*made["b.jsonl"][:2345], "{oops", "{}"]))
+        with pytest.raises(Exception, match="b.jsonl:2346: not JSON"):
+            jsonlines.read_labels(spark, str(tmp_path)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_cases_and_labels(spark, tmp_path):
     path = tmp_path / "cases.jsonl"
     path.write_text("# note\n\n" + "\n".join(json.dumps(c) for c in [
@@ -86,6 +110,7 @@ def test_cases_and_labels(spark, tmp_path):
          "grading": {"task": {"type": "llm_judge", "weight": 0.5}, "evidence": {"checks": ["recall"]}}},
     ]))
     first, second = jsonlines.read_cases(spark, str(path)).orderBy("ord").collect()
+    assert (first.ord, second.ord) == (3, 4)
     assert first.expected.gold_list == ["a"] and first.grading.task.checks == ["recall", "precision"]
     assert second.grading.task.type == "llm_judge"
     assert (second.grading.trace.type, second.grading.trace.weight) == ("rules", 1.0)
