@@ -63,7 +63,10 @@ def exact_percentiles(df: DataFrame, value: str, probabilities: dict[str, float]
     values = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
     edges = values.agg(F.percentile_approx("v", cuts, 10_000).alias("edges"))
     counted = values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).withColumn("edges", edges.scalar())
-    counted = counted.select("v", "c", F.size(F.filter("edges", lambda e: e <= F.col("v"))).alias("bucket"))
+    # Never null, and said to be: a test for null on the join key would be pushed below the count, where
+    # the expression behind the value is worked out anew for each edge of each row.
+    bucket = F.coalesce(F.size(F.filter("edges", lambda e: e <= F.col("v"))), F.lit(0))
+    counted = counted.select("v", "c", bucket.alias("bucket"))
     sizes = counted.groupBy("bucket").agg(F.sum("c").alias("size"))
     # One row a range.
     all_before = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
