@@ -471,6 +471,27 @@ def test_a_hundred_thousand_special_names_against_plain_search(spark):
     assert "Join" not in plan
 
 
+def test_definitions_and_first_lines_by_document(spark, tmp_path):
+    from treeline.plans import facts
+
+    rows = [
+        (3, "s1", "en", "b\na b\n"), (1, "s2", "en", "x\nb\nb 1z"), (1, "s3", "de", "b x"), (None, "s4", "en", "only b"), (-2, "s1", "en", "q\nx"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = facts.definitions(spark, str(tmp_path))
+    assert sorted((r.name, r.file, r.line) for r in found.collect()) == [
+        ("a", "s1/en/3.txt", 2), ("b", "s2/en/1.txt", 1), ("b", "s3/de/1.txt", 1), ("q", "s1/en/-2.txt", 1), ("x", "s1/en/-2.txt", 2),
+        ("z", "s2/en/1.txt", 3), ("z", "s3/de/1.txt", 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "keys=[name#" in plan and not re.search(r"hashpartitioning\(name#\d+, doc_id", plan)
+    every = facts.all_definitions(spark, str(tmp_path))
+    assert sorted((r.name, r.file, r.line) for r in every.filter("name in ('b', 'x')").collect()) == [
+        ("b", "s1/en/3.txt", 1), ("b", "s2/en/1.txt", 1), ("b", "s3/de/1.txt", 1),
+        ("x", "s1/en/-2.txt", 2), ("x", "s2/en/1.txt", 1), ("x", "s3/de/1.txt", 1)]
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(name#", plan)
+
+
 def test_percentiles_take_the_value_once_a_row(spark):
     """A test on the join key below the count would work out the value anew for each edge of each row."""
     df = spark.range(100).select(F.get_json_object(F.concat(F.lit('{"k": '), F.col("id"), F.lit("}")), "$.k").cast("long").alias("v"))
