@@ -471,6 +471,40 @@ def test_a_hundred_thousand_special_names_against_plain_search(spark):
     assert "Join" not in plan
 
 
+def test_references_shuffle_no_row_per_occurrence(spark):
+    from treeline.functions.text import split_lines
+    from treeline.functions.tokens import word_runs
+
+    rows = [
+        ("m/a.c", "x y x\r\nx 1 foo\ny"), ("m/b.c", "x\n\nfoo x_x"), ("m/n/c.c", "y y"), ("m/a.c", "x"), (None, "x"), ("o.c", None), ("o.c", ""),
+    ]
+    files = spark.createDataFrame(rows, "file string, text string")
+    defs = spark.createDataFrame(
+        [("x", "m/a.c", 1), ("x", "m/a.c", 1), ("x", "m/b.c", 1), ("y", "m/n/c.c", 9), ("foo", None, 1), ("no", "m/a.c", 1), (None, "m/a.c", 2), ("1", "m/a.c", None)],
+        "name string, file string, line int",
+    )
+    cards = spark.createDataFrame([("m",), ("m/n",)], "module_path string")
+    facts = references.reference_facts(files, defs, cards)
+    assert sorted(tuple(r) for r in facts.filter("file IS NOT NULL").collect()) == [
+        ("1", "m", "m/a.c", 2, 1), ("foo", "m", "m/a.c", 2, 2), ("foo", "m", "m/b.c", 3, 0), ("x", "m", "m/a.c", 2, 0),
+        ("y", "m", "m/a.c", 1, 1), ("y", "m", "m/a.c", 3, 0), ("y", "m/n", "m/n/c.c", 1, 0), ("y", "m/n", "m/n/c.c", 1, 1)]
+    assert [tuple(r) for r in facts.filter("file IS NULL").collect()] == [("x", None, None, 1, 0)]
+    # The only exchange of words is that of packed rows: none lies above the explode.
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate explode")]
+
+
+def test_words_packed_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(references, "PACK_WORDS", 3)
+    files = spark.createDataFrame([(f"f{i}", "a b a\n\nb c") for i in range(5)], "file string, text string").coalesce(1)
+    defs = spark.createDataFrame([("a", "f1", 1), ("b", "f3", 3), ("c", "f3", 2)], "name string, file string, line int")
+    cards = spark.createDataFrame([("m",)], "module_path string")
+    got = sorted((r.file, r.name, r.line, r.position) for r in references.reference_facts(files, defs, cards).collect())
+    every = [("a", 1, 0), ("a", 1, 2), ("b", 1, 1), ("b", 3, 0), ("c", 3, 1)]
+    gone = {("f1", "a", 1), ("f3", "b", 3)}
+    assert got == sorted((f"f{i}", *e) for i in range(5) for e in every if (f"f{i}", *e[:2]) not in gone)
+
+
 def test_definitions_and_first_lines_by_document(spark, tmp_path):
     from treeline.plans import facts
 
