@@ -147,3 +147,24 @@ def test_empty_corpus(spark, tmp_path):
     assert ranking(later.bm25(["alpha"])) == ranking(retrieval.bm25_topk(corpus_of(spark, texts(20)), ["alpha"]))
     nothing = spark.createDataFrame([], "kind string, doc_id long, embedding array<float>")
     assert vectorstore.build_vectors(nothing, str(tmp_path / "b")).nearest([0.0], 3).collect() == []
+
+
+def test_terms_are_shuffled_for_their_blocks_only(spark, tmp_path):
+    index = rankedindex.refreshed_index(corpus_of(spark, texts(200)), str(tmp_path))
+    docs = spark.createDataFrame([("module", "d0001", 0)], "kind string, doc_id string, range long")
+
+    def exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return [line for line in plan.splitlines() if "Exchange" in line]
+
+    counted = exchanges(rankedindex.term_rows(rankedindex.placed_rows(corpus_of(spark, texts(200)), docs)))
+    assert len(counted) == 2 and not any("token" in line for line in counted)
+    terms = index.store.read("terms")
+    dealt = exchanges(rankedindex.block_rows(terms))
+    assert len(dealt) == 1 and "rangepartitioning(token" in dealt[0]
+    # Documents without an id are counted but are in no block, as before.
+    rows = [("module", None, "m", "", "alpha beta"), ("module", "a", "m", "", "alpha"), ("module", None, "m", "b", "alpha")]
+    odd = rankedindex.refreshed_index(corpus_of(spark, rows), str(tmp_path / "odd"))
+    assert everything(odd.vocabulary()) == [("module", "alpha", 2), ("module", "beta", 1)]
+    assert [(r.doc_id, r.tf, r.dl) for r in odd.postings().collect()] == [("a", 1, 1)]
+    assert sorted((r.doc_id or "", r.dl) for r in odd.documents().collect()) == [("", 0), ("a", 1)]

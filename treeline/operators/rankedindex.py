@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from treeline import settings
@@ -27,6 +28,7 @@ from treeline.operators.retrieval import KINDS, _raw_idf
 from treeline.sources.segments import GONE, Segments, open_store
 
 KEY = ["kind", "doc_id"]
+BLOCK = ["token", "kind", "range"]
 RANGE_BITS = 6
 RANGE_DOCS = 1 << RANGE_BITS
 #: Bounds and scores are sums in different orders; a bound counts as this much larger.
@@ -40,22 +42,33 @@ def fingerprints(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy(*KEY).agg(F.struct(F.count(F.lit(1)).alias("parts"), F.bit_xor(row).alias("xor"), F.max(row).alias("max")).alias("print"))
 
 
+def placed_rows(corpus: DataFrame, docs: DataFrame) -> DataFrame:
+    """The corpus with the range of each document; texts meet by document, so that their terms need no shuffle."""
+    # A fixed number of parts: those of a few MB of text hold many terms, which adaptive execution cannot see.
+    parts = max(int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")), corpus.rdd.getNumPartitions())
+    return corpus.repartition(parts, *KEY).join(docs.select(*KEY, "range").hint("shuffle_hash"), KEY, "left")
+
+
 def term_rows(corpus: DataFrame) -> DataFrame:
-    """kind, doc_id, token, tf: repeats within a part are counted before the shuffle."""
-    pieces = corpus.select(*KEY, F.explode(F.transform(mixed_pieces(F.col("text")), F.lower)).alias("token"))
-    return pieces.groupBy(*KEY, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """kind, doc_id, token, tf; and range, if the corpus has it."""
+    own = [*KEY, *(c for c in ("range",) if c in corpus.columns)]
+    pieces = corpus.select(*own, F.explode(F.transform(mixed_pieces(F.col("text")), F.lower)).alias("token"))
+    return pieces.groupBy(*own, "token").agg(F.count(F.lit(1)).alias("tf"))
+
 
+def block_rows(terms: DataFrame) -> DataFrame:
+    """Posting blocks of terms with range and dl, in order; a block has RANGE_DOCS entries at most.
 
-def block_rows(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """Posting blocks of terms; a block has RANGE_DOCS entries at most."""
-    rows = terms.join(docs.select(*KEY, "range", "dl"), KEY)
+    Terms are dealt by ranges of tokens, as the blocks are to lie, and form their blocks there.
+    """
     entry = F.struct("doc_id", F.col("tf"), F.col("dl"))
-    return rows.groupBy("token", "kind", "range").agg(
+    rows = terms.filter("doc_id IS NOT NULL").select("token", "kind", "range", "doc_id", "tf", "dl")
+    return rows.repartitionByRange(*BLOCK).groupBy(*BLOCK).agg(
         F.count(F.lit(1)).alias("df"),
         F.max("tf").alias("max_tf"),
         F.min("dl").alias("min_dl"),
         F.sort_array(F.collect_list(entry)).alias("entries"),
-    )
+    ).sortWithinPartitions(*BLOCK)
 
 
 def kind_statistics(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -166,35 +179,44 @@ class RankedIndex:
 
     def _add(self, rows: DataFrame, prints: DataFrame, gone: DataFrame | None, draft=None) -> RankedIndex:
         draft = draft or self.store.draft()
-        terms = draft.put("terms", term_rows(rows), *KEY)
+        prints = self._numbered(draft, "numbers", prints)
+        # Lengths come from a document's terms, which lie together.
+        length = F.sum("tf").over(W.partitionBy(*KEY))
+        terms = draft.put("terms", term_rows(placed_rows(rows, prints)).withColumn("dl", length))
         changes = terms.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df"))
-        docs = self._numbered(draft, prints, terms)
+        docs = draft.put("docs", self._measured(prints, terms))
         every = docs
         if gone is not None:
             gone = draft.put(GONE, gone)
-            lost = self.store.read("terms").join(gone, KEY, "left_semi").groupBy("kind", "token").agg((-F.count(F.lit(1))).alias("df"))
+            lost = self.store.read("terms").join(gone.hint("shuffle_hash"), KEY, "left_semi").groupBy("kind", "token").agg((-F.count(F.lit(1))).alias("df"))
             changes = merged_changes(changes.unionByName(lost))
             every = docs.unionByName(self.documents().join(gone, KEY, "left_anti"))
-        draft.put("blocks", block_rows(terms, docs), "token", "kind", "range")
+        draft.put("blocks", block_rows(terms))
         changes = draft.put("vocabulary", changes, "token", "kind")
         known = changes if gone is None else changes.unionByName(self.store.read("vocabulary", merged=False).drop("segment"))
         draft.put("stats", kind_statistics(every, merged_vocabulary(known)))
         return RankedIndex(draft.commit())
 
-    def _numbered(self, draft, prints: DataFrame, terms: DataFrame) -> DataFrame:
-        """Documents with their length and range; ranges follow the order of keys, for alike documents."""
-        lengths = terms.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
-        docs = prints.join(lengths, KEY, "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
+    def _numbered(self, draft, name: str, docs: DataFrame) -> DataFrame:
+        """Documents with their range, written; ranges follow the order of keys, for alike documents."""
         docs = docs.repartitionByRange(*KEY).sortWithinPartitions(*KEY)
         number = F.shiftright(F.monotonically_increasing_id(), RANGE_BITS)
-        return draft.put("docs", docs.select(*KEY, "print", "dl", number.alias("range")))
+        return draft.put(name, docs.withColumn("range", number))
+
+    def _measured(self, prints: DataFrame, terms: DataFrame) -> DataFrame:
+        """Documents with their length."""
+        lengths = terms.groupBy(*KEY).agg(F.sum("tf").alias("dl"))
+        docs = prints.join(lengths, KEY, "left").withColumn("dl", F.coalesce("dl", F.lit(0).cast("long")))
+        return docs.select(*KEY, "print", "dl", "range")
 
     def compacted(self) -> RankedIndex:
         """The same index in one segment, made from stored terms; no text is read."""
         draft = self.store.draft()
-        terms = draft.put("terms", self.store.read("terms"), *KEY)
-        docs = self._numbered(draft, self.documents().select(*KEY, "print"), terms)
-        draft.put("blocks", block_rows(terms, docs), "token", "kind", "range")
+        old = self.documents().select(*KEY, "print", "dl")
+        docs = self._numbered(draft, "docs", old)
+        stored = self.store.read("terms").select(*KEY, "token", "tf")
+        terms = draft.put("terms", stored.join(docs.select(*KEY, "range", "dl").hint("shuffle_hash"), KEY, "left"))
+        draft.put("blocks", block_rows(terms))
         words = draft.put("vocabulary", terms.groupBy("kind", "token").agg(F.count(F.lit(1)).alias("df")), "token", "kind")
         draft.put("stats", kind_statistics(docs, words))
         return RankedIndex(draft.commit(replace_all=True))
