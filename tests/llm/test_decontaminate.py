@@ -103,3 +103,15 @@ def test_keys_of_the_contaminated_are_broadcast_only_within_the_bound(spark, mon
         monkeypatch.setattr(decontaminate, "KEY_BYTES", size)
         plan = decontaminate.without_documents(table, benchmark)._jdf.queryExecution().optimizedPlan().toString()
         assert ("strategy=broadcast" in plan) == wanted
+
+
+def test_windows_are_hashed_from_codes_of_words(spark):
+    from pyspark.sql import functions as F
+
+    words = ["one", "two", "one", "two", "ö", "one", "two"]
+    df = spark.createDataFrame([(words,), ([],)], "words array<string>")
+    codes = decontaminate.word_codes(F.col("words"))
+    rows = df.select(codes.alias("c"), decontaminate.window_hashes(codes, 2).alias("two"), decontaminate.window_hashes(codes, 9).alias("nine"))
+    assert dict(rows.dtypes)["c"] == "array<bigint>"
+    got, empty = rows.orderBy(F.size("c").desc()).collect()
+    assert len(got.two) == 6 and len(set(got.two)) == 4 and got.two[0] == got.two[2] == got.two[5] and got.nine == [] == empty.two

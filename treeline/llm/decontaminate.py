@@ -35,10 +35,15 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), NO_WORD), lambda w: w != "")
 
 
-def window_hashes(words: Column, width: Column | int) -> Column:
-    """Hashes of all windows of so many words; the words must be in lower case."""
+def word_codes(words: Column) -> Column:
+    """A hash of each word; the words must be in lower case."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_hashes(codes: Column, width: Column | int) -> Column:
+    """Hashes of all windows of so many words, from the codes of the words: no letter is read once a window."""
     size = F.lit(width) if isinstance(width, int) else width
-    return F.transform(indexes(1, F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+    return F.transform(indexes(1, F.size(codes) - size + 1), lambda i: F.xxhash64(F.slice(codes, i, size)))
 
 
 def folded(text: Column) -> Column:
@@ -59,7 +64,7 @@ def benchmark_grams(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = rows.select("item", "width", "words", starts.alias("at"))
     cut = F.slice("words", F.col("at"), F.col("width"))
     rows = rows.select("item", "width", lowered(cut).alias("gram"))
-    hashed = F.xxhash64(F.transform("gram", folded)).alias("hash")
+    hashed = F.xxhash64(word_codes(F.transform("gram", folded))).alias("hash")
     return rows.select("*", hashed).groupBy("hash", "gram", "width").agg(F.collect_set("item").alias("items"))
 
 
@@ -82,7 +87,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, bo
     found = None
     for k in range(rounds):
         part = grams.filter(F.pmod(F.col("hash"), F.lit(rounds)) == k)
-        hashes = bind(F.col("low"), lambda w: F.concat(*(window_hashes(w, n) for n in widths)))
+        hashes = bind(word_codes(F.col("low")), lambda c: F.concat(*(window_hashes(c, n) for n in widths)))
         seen = rows.select("key", "text", F.size("low").alias("n"), F.posexplode(hashes).alias("place", "seen"))
         # Hashes of full lower case find candidates; the words as written decide.
         hits = seen.join(F.broadcast(part), F.col("seen") == F.col("hash"))
